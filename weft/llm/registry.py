@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import setjoin
+from . import decontaminate, setjoin
 from .common import table
 
 
@@ -10,9 +10,14 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op9_benchmark_decontamination": op9_benchmark_decontamination,
     }
 
 
