@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, setjoin
+from . import decontaminate, setjoin, substring
 from .common import table
 
 
@@ -14,10 +14,15 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op1_substring_dedup": op1_substring_dedup,
     }
 
 
