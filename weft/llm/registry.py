@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, setjoin, substring
+from . import decontaminate, quality, setjoin, substring
 from .common import table
 
 
@@ -18,11 +18,17 @@ def op1_substring_dedup(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op1_substring_dedup": op1_substring_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
     }
 
 
