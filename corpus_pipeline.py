@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import setjoin
+from weft.llm import bpe, decontaminate, quality, setjoin, substring
 from weft.llm.common import checkpoint, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join stays: the one with the smallest doc_id."""
     return setjoin.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences of repeated spans go from all documents but the first; n_chars follows the text."""
+    return substring.cut_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) of every document, their number, and digests of them and of
+    their decoding."""
+    return bpe.encode(docs.select("doc_id", "text"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).drop("text")
+
+
 STAGES = [
+    ("quality_filter", quality_filter),
     ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
 ]
 
 ORACLE_SQL = None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, setjoin, substring
+import public_tokenizers as tokenizers
+
+from . import bpe, decontaminate, quality, setjoin, substring
 from .common import table
 
 
@@ -23,12 +25,18 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op1_substring_dedup": op1_substring_dedup,
         "op4_quality_classifier": op4_quality_classifier,
+        "op8_byte_bpe": op8_byte_bpe,
     }
 
 

@@ -140,3 +140,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for name in own:
         schema = schema.add(name, "bigint")
     return joined.mapInArrow(run, schema)
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of docs with repeated spans cut from text and the columns docs has; n_chars, if there, follows the text."""
+    cut = remove_repeats(docs)
+    changed = cut.columns[-1]
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col(changed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
