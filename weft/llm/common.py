@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.sources.catalog import table
 
-__all__ = ["table", "checkpoint", "text_bytes", "WordHash", "word_hashes", "signed", "free_name", "bounds_of", "bucket_of", "parallelism"]
+__all__ = ["table", "checkpoint", "text_bytes", "mixed", "word_hashes", "signed", "free_name", "bounds_of", "bucket_of", "parallelism"]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -45,18 +44,66 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class WordHash(dict):
-    """64-bit hashes of words, with a bounded cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def word_hashes(words: list, cache: WordHash) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+for _c in range(65, 91):
+    _BYTE[_c] = _BYTE[_c + 32]  # A-Z count as a-z
+_BLOCK = 1 << 18
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_BASE, _BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, A-Z lower-cased: differences of one running polynomial sum."""
+    if len(raw) <= _BLOCK:
+        return _block_hashes(np.frombuffer(raw, np.uint8))
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + _BLOCK)
+        if end < len(raw):
+            back = next((i for i in range(end, at, -1) if _SPACE[raw[i]]), at)
+            if back == at:  # one word longer than a block
+                end = next((i for i in range(end, len(raw)) if _SPACE[raw[i]]), len(raw))
+                word = raw[at:end].lower().split()
+                out.append(np.array([xxhash.xxh64_intdigest(w) for w in word], np.uint64))
+                at = end
+                continue
+            end = back
+        out.append(_block_hashes(np.frombuffer(raw, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(out)
+
+
+def _block_hashes(b: np.ndarray) -> np.ndarray:
+    if not len(b):
+        return np.empty(0, np.uint64)
+    space = _SPACE[b]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.r_[0, edge]
+    if not space[-1]:
+        edge = np.r_[edge, len(b)]
+    if not len(edge):
+        return np.empty(0, np.uint64)
+    sums = np.empty(len(b) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
+    start, end = edge[::2], edge[1::2]
+    return mixed((sums[end] - sums[start]) * _DOWN[start] + (end - start).astype(np.uint64))
 
 
 def bounds_of(df: DataFrame, key: str, n: int) -> list[int]:
@@ -73,7 +120,7 @@ def bucket_of(key: Column, tie: Column, bounds: list[int]) -> Column:
     fills several bounds are dealt over these buckets by the ascending tie value (a long)."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds])
+    cuts = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     steps = [1 << s for s in range(len(bounds).bit_length() - 1, -1, -1)]
 
     def found(below) -> Column:
@@ -85,5 +132,3 @@ def bucket_of(key: Column, tie: Column, bounds: list[int]) -> Column:
     share = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 33).cast("double") / float(1 << 31)
     return F.when(key.isNull(), 0).otherwise(first + F.floor(share * (last - first + 1)).cast("int"))
 
-
-_WS = re.compile(rb"[\x20\x09-\x0D]+")

@@ -8,9 +8,9 @@ The join follows set relations at three levels:
 * equal sets are one node from the start, so copies never meet;
 * index lists (token -> sets, over the prefix that a threshold requires, rarest tokens first) are sorted by set size and
   cut into blocks; blocks whose sizes cannot reach the threshold are skipped, and positions bound what is left;
-* every list has a hub. Members are verified against the hub alone; answers of a member are then derived from the hub's:
-  members of one component are skipped, and for others the overlaps with the hub bound their own overlap from both
-  sides. Only pairs that the bounds leave open are verified.
+* every list has a hub. Members are verified against the hub alone, which gives their difference to it too. The answers of a
+  member are then derived from the hub's: members of one component are skipped, and the overlap of others follows from
+  their differences, without their sets. Only pairs that no common hub decides are verified.
 
 Token order only decides the work, never the result. The table of frequent tokens that sets the order is bounded by
 HOT_TOKENS; all other tokens count as rare. No list, candidate or partner is ever dropped.
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, checkpoint, parallelism, signed, text_bytes, word_hashes
+from .common import checkpoint, mixed, parallelism, signed, text_bytes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -41,22 +41,27 @@ _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(29))
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    if len(x) < 2:
+        return x
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
-def shingles(text: bytes | None, cache: WordHash, k: int = WORDS) -> np.ndarray:
+def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    words = text.lower().split() if text else []
-    if not words:
+    w = word_hashes(text) if text else ()
+    if not len(w):
         return np.empty(0, np.uint64)
-    w = word_hashes(words, cache)
     m = min(k, len(w))
     s = np.full(len(w) - m + 1, m, np.uint64)
     for i in range(m):
         s += w[i : len(w) - m + 1 + i] * _MUL[i]
-    return np.unique(_mixed(s))
+    return distinct(mixed(s))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -85,10 +90,9 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
 
 def _sets(batches, seen: set):
     """(set id, sorted hashes) of each set that this task meets for the first time."""
-    cache = WordHash()
     for batch in batches:
         for text in text_bytes(batch.column("text")):
-            s = shingles(text, cache)
+            s = shingles(text)
             if len(s):
                 k = set_id(s)
                 if k not in seen:
@@ -99,14 +103,13 @@ def _sets(batches, seen: set):
 
 
 def _identify(batches):
-    cache = WordHash()
     for batch in batches:
         known: dict = {}
         ids, sizes = [], []
         for text in text_bytes(batch.column("text")):
             got = known.get(text)
             if got is None:
-                s = shingles(text, cache)
+                s = shingles(text)
                 got = known[text] = (set_id(s), len(s))
             ids.append(got[0])
             sizes.append(got[1])
@@ -266,24 +269,29 @@ def _hub_pairs(batches):
 
 
 def _open_lists(batches):
-    """Lists of three sets and more, a row for each set but the hub; equal lists of a partition come once."""
+    """Lists of three sets and more, a row for each set but the hub. Lists of equal sets, all of which may link with the
+    hub, come once a partition, without positions."""
     got = _lists(batches)
     if got is None or not len(got[0]):
         return
-    token, sid, size, _ = got
+    token, sid, size, pos = got
     start = _starts(token)
+    hub = np.repeat(start, np.diff(np.r_[start, len(token)]))
+    fits = _possible(size[hub], pos[hub], size, pos)
     seen, rows = set(), []
     for a, b in zip(start.tolist(), np.r_[start[1:], len(token)].tolist()):
         if b - a < 3:
             continue
-        members = sid[a:b]
-        key = xxhash.xxh64_intdigest(members.tobytes())
+        members, places = sid[a:b], pos[a + 1 : b]
+        if fits[a + 1 : b].all():
+            places = np.zeros(b - a - 1, np.int64)
+        key = xxhash.xxh64_intdigest(members.tobytes() + places.tobytes())
         if key in seen:
             continue
         seen.add(key)
-        rows.append((np.full(b - a - 1, signed(key)), np.full(b - a - 1, members[0]), members[1:], size[a + 1 : b]))
+        rows.append((np.full(b - a - 1, signed(key)), np.full(b - a - 1, members[0]), members[1:], size[a + 1 : b], places))
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["list", "hub", "set_id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["list", "hub", "set_id", "n", "pos"])
 
 
 def _bloom_bits(count: int) -> int:
@@ -321,27 +329,37 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if len(seen) >= 1 << 20:
                 seen.clear()
             if keep:
-                yield batch.take(pa.array(keep))
+                some = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([some.column("th"), pa.array([zstandard.compress(x or b"", 3) for x in text_bytes(some.column("text"))], pa.binary())], ["th", "text"])
 
-    found = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, text string")
+    found = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, text binary")
     return found.join(wanted, "th").groupBy("set_id").agg(F.first("text").alias("text"))
 
 
 def _measured(batches):
-    """Overlaps of a stream in which each hub's row stands before its members."""
-    cache, hub, own = WordHash(), None, None
+    """Overlaps of a stream in which each hub's row stands before its members. Of a member that shares half its tokens with
+    the hub also the difference: a bit for each token of the hub that it has (r), and its other tokens (x)."""
+    hub, own = None, None
     for batch in batches:
         out = []
-        for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), text_bytes(batch.column("text"))):
+        for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist()):
+            s = shingles(zstandard.decompress(text))
             if b is None:
-                hub, own = a, shingles(text, cache)
+                hub, own = a, s
                 continue
             if a != hub:
                 raise ValueError("a member without its hub")
-            s = shingles(text, cache)
-            out.append((a, b, len(np.intersect1d(own, s, assume_unique=True)), len(own), len(s)))
+            at = np.minimum(np.searchsorted(own, s), len(own) - 1)
+            hit = own[at] == s
+            o = int(hit.sum())
+            if 2 * o >= len(s):
+                r = np.zeros(len(own), bool)
+                r[at[hit]] = True
+                out.append((a, b, o, len(own), len(s), np.packbits(r).tobytes(), s[~hit].tobytes()))
+            else:
+                out.append((a, b, o, len(own), len(s), None, None))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b", "o", "na", "nb"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.int64()] * 5, pa.binary(), pa.binary()))], ["a", "b", "o", "na", "nb", "r", "x"])
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -353,71 +371,126 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     salted = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     members = salted.join(texts, salted.b == texts.set_id).select("a", "salt", "b", "text")
     both = hubs.unionByName(members).repartition(parallelism(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(_measured, "a long, b long, o long, na long, nb long")
-
-
-def _undecided(batches):
-    """Pairs over components inside each block pair of a list: derived links, and pairs to verify. Rows come sorted by group."""
-
-    def solve(rows):
-        side, sid, n, comp, o = (np.array(x) for x in zip(*rows))
-        x, y = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        if len(x) == 0 or len(y) == 0:
-            return
-        by = y[np.argsort(n[y], kind="stable")]
-        sizes = n[by]
-        for i in x.tolist():
-            lo, hi = np.searchsorted(sizes, (NUM * n[i] + DEN - 1) // DEN), np.searchsorted(sizes, DEN * n[i] // NUM, "right")
-            j = by[lo:hi]
-            j = j[comp[j] != comp[i]]
-            if side[i] == 0:
-                j = j[sid[j] > sid[i]]
-            if not len(j):
-                continue
-            need = (NUM * (n[i] + n[j]) + NUM + DEN - 1) // (NUM + DEN)
-            known = (o[i] >= 0) & (o[j] >= 0)
-            most = np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j])
-            j = j[~known | (most >= need)]
-            for k in j.tolist():
-                yield min(sid[i], sid[k]), max(sid[i], sid[k])
+    return both.mapInArrow(_measured, "a long, b long, o long, na long, nb long, r binary, x binary")
+
+
+def _blocks(rows: DataFrame, group: str, m: str) -> DataFrame:
+    """Deals each group's rows over block pairs (i, j): blocks hold sets of one octave of sizes, BLOCK of them as a group of
+    m rows needs. Blocks more than an octave apart cannot link and are skipped. side: 0 within a block, 1 first, 2 second."""
+    octave = F.floor(F.log2(F.col("n").cast("double"))).cast("long")
+    many = (F.floor(F.col(m) / BLOCK) + 1).cast("int")
+    placed = rows.withColumn("octave", octave).withColumn("many", many).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("many")).cast("int"))
+    own = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', octave * 1000003L + least(part, p), 'j', octave * 1000003L + greatest(part, p), 'side', IF(p = part, 0, IF(part < p, 1, 2))))")
+    up = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', octave * 1000003L + part, 'j', (octave + 1) * 1000003L + p, 'side', 1))")
+    down = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', (octave - 1) * 1000003L + p, 'j', octave * 1000003L + part, 'side', 2))")
+    kept = [c for c in rows.columns if c != m]
+    dealt = placed.select(*kept, F.explode(F.concat(own, up, down)).alias("b_")).select(*kept, "b_.i", "b_.j", F.col("b_.side").cast("int").alias("side"))
+    return dealt.repartition(parallelism(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def _by_group(solve, names: list[str], key: int):
+    """Runs solve(rows) over the rows of each key of a sorted stream."""
 
     def run(batches):
-        key, rows, done = None, [], set()
+        now, rows = None, []
         for batch in batches:
             out = []
-            for *k, side, sid, n, comp, o in zip(*(batch.column(c).to_pylist() for c in ("list", "i", "j", "side", "set_id", "n", "comp", "o"))):
-                if k != key:
-                    out += solve(rows) if rows else []
-                    key, rows = k, []
-                rows.append((side, sid, n, comp, -1 if o is None else o))
-            out = set(out) - done
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[:key] != now:
+                    out += solve(rows) if len(rows) > 1 else []
+                    now, rows = row[:key], []
+                rows.append(row[key:])
             if out:
-                done = done | out if len(done) < 1 << 20 else out
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-        out = set(solve(rows) if rows else []) - done
+        out = solve(rows) if len(rows) > 1 else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
-    return run(batches)
-
-
-def _remaining(postings: DataFrame, buckets: int, comps: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs of different components that lists hold besides their hub's, less those that the hub's answers decide."""
-    rows = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(_open_lists, "list long, hub long, set_id long, n long")
-    with_comp = rows.join(comps, rows.set_id == comps.node, "left").select("list", "hub", "set_id", "n", F.coalesce("component", "set_id").alias("comp"))
-    mixed = with_comp.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("list", "m")
-    kept = with_comp.join(mixed, "list").dropDuplicates(["list", "set_id"])
-    kept = kept.join(hubs.select(F.col("a").alias("hub"), F.col("b").alias("set_id"), "o"), ["hub", "set_id"], "left")
-    # Blocks of sets of about one size: a list of m sets has m / BLOCK of them in each octave of sizes.
-    octave = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    many = (F.floor(F.col("m") / BLOCK) + 1).cast("int")
-    kept = kept.withColumn("octave", octave).withColumn("many", many).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("many")).cast("int"))
-    # A set meets the parts of its own octave and of the one above; blocks further apart are skipped.
-    own = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', octave * 1000003L + least(part, p), 'j', octave * 1000003L + greatest(part, p), 'side', IF(p = part, 0, IF(part < p, 1, 2))))")
-    up = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', octave * 1000003L + part, 'j', (octave + 1) * 1000003L + p, 'side', 1))")
-    down = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', (octave - 1) * 1000003L + p, 'j', octave * 1000003L + part, 'side', 2))")
-    dealt = kept.select("list", "set_id", "n", "comp", "o", F.explode(F.concat(own, up, down)).alias("x")).select("list", "x.i", "x.j", F.col("x.side").cast("int").alias("side"), "set_id", "n", "comp", "o")
-    return dealt.repartition(parallelism(postings.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_undecided, "a long, b long").distinct()
+    return run
+
+
+def _root(of: dict, x: int) -> int:
+    while of.setdefault(x, x) != x:
+        of[x] = x = of[of[x]]
+    return x
+
+
+def _derived(rows: list) -> list:
+    """Links over components among members of one hub, from their differences to it: two members share the hub's tokens
+    that both have, and what they share of their others. Only links that join components anew are given."""
+    side, sid, n, comp, r, x = zip(*rows)
+    first, second = [i for i, s in enumerate(side) if s <= 1], [i for i, s in enumerate(side) if s != 1]
+    if not first or not second:
+        return []
+    n, comp = np.array(n), np.array(comp)
+    added = np.array([len(v) >> 3 for v in x])
+    step = max(16, (1 << 22) // max(1, 8 * len(r[0])))
+    bits = lambda of: np.unpackbits(np.frombuffer(b"".join(r[i] for i in of), np.uint8).reshape(len(of), -1), axis=1).astype(np.float32)
+    out, of = [], {}
+    for a in range(0, len(first), step):
+        rows_a = first[a : a + step]
+        bits_a = bits(rows_a)
+        for b in range(0, len(second), step):
+            rows_b = second[b : b + step]
+            shared = (bits_a @ bits(rows_b).T).astype(np.int64)
+            ia, ib = np.array(rows_a)[:, None], np.array(rows_b)[None, :]
+            need = (NUM * (n[ia] + n[ib]) + NUM + DEN - 1) // (NUM + DEN)
+            maybe = (comp[ia] != comp[ib]) & (shared + np.minimum(added[ia], added[ib]) >= need)
+            for p, q in zip(*(v.tolist() for v in np.nonzero(maybe))):
+                i, j = rows_a[p], rows_b[q]
+                u, v = _root(of, comp[i]), _root(of, comp[j])
+                if u == v or sid[i] == sid[j]:
+                    continue
+                both = len(np.intersect1d(np.frombuffer(x[i], np.uint64), np.frombuffer(x[j], np.uint64), assume_unique=True))
+                if shared[p, q] + both >= need[p, q]:
+                    of[u] = v
+                    out.append((sid[i], sid[j]))
+    return out
+
+
+def _undecided(rows: list) -> list:
+    """Pairs over components inside a block pair of a list that sizes and positions leave open and no hub decides."""
+    side, sid, n, pos, comp, known = (np.array(v) for v in zip(*rows))
+    y = np.flatnonzero(side != 1)
+    y = y[np.argsort(n[y], kind="stable")]
+    sizes, out = n[y], set()
+    for i in np.flatnonzero(side <= 1).tolist():
+        lo, hi = np.searchsorted(sizes, (NUM * n[i] + DEN - 1) // DEN), np.searchsorted(sizes, DEN * n[i] // NUM, "right")
+        j = y[lo:hi]
+        j = j[(comp[j] != comp[i]) & ~(known[j] & known[i]) & (sid[j] != sid[i])]
+        j = j[_possible(n[i], pos[i], n[j], pos[j])]
+        out.update((min(sid[i], k), max(sid[i], k)) for k in sid[j].tolist())
+    return [(int(a), int(b)) for a, b in out]
+
+
+def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, rows.set_id == comps.node, "left").select(*rows.columns, F.coalesce("component", "set_id").alias("comp"))
+
+
+def _mixed_groups(rows: DataFrame, group: str, also=None) -> DataFrame:
+    """The rows of groups that hold more than one component, with their number m."""
+    sums = rows.groupBy(group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.lit(True) if also is None else also).alias("also"))
+    return rows.join(sums.filter("lo <> hi and also").select(group, "m"), group)
+
+
+def _within_hubs(hubs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links between components among the members of each hub."""
+    members = hubs.filter("r is not null").select(F.col("a").alias("hub"), F.col("b").alias("set_id"), F.col("nb").alias("n"), "r", "x")
+    small = _with_component(members.select("hub", "set_id", "n"), comps)
+    kept = _mixed_groups(small, "hub").select(F.col("hub").alias("h_"), F.col("set_id").alias("s_"), "comp", "m")
+    rows = members.join(kept, (members.hub == kept.h_) & (members.set_id == kept.s_)).select("hub", "set_id", "n", "comp", "r", "x", "m")
+    names = ["hub", "i", "j", "side", "set_id", "n", "comp", "r", "x"]
+    return _blocks(rows, "hub", "m").select(*names).mapInArrow(_by_group(_derived, names, 3), "a long, b long")
+
+
+def _beside_hubs(postings: DataFrame, buckets: int, comps: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs of different components that lists hold and no common hub decides."""
+    rows = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(_open_lists, "list long, hub long, set_id long, n long, pos long").dropDuplicates(["list", "set_id"])
+    known = hubs.filter("r is not null").select(F.col("a").alias("hub"), F.col("b").alias("set_id"), F.lit(True).alias("known"))
+    rows = _with_component(rows.join(known, ["hub", "set_id"], "left").select("list", "set_id", "n", "pos", F.coalesce("known", F.lit(False)).alias("known")), comps)
+    mixed_rows = _mixed_groups(rows, "list", ~F.col("known"))
+    names = ["list", "i", "j", "side", "set_id", "n", "pos", "comp", "known"]
+    return _blocks(mixed_rows, "list", "m").select(*names).mapInArrow(_by_group(_undecided, names, 3), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -457,7 +530,11 @@ def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | No
     hubs = checkpoint(_verified(docs, reps, pairs))
     links = hubs.filter(is_link).select("a", "b")
     comps = components(links, "a", "b")
-    rest = checkpoint(_remaining(postings, 1 << bits, comps, hubs))
+    derived = checkpoint(_within_hubs(hubs, comps))
+    if not derived.isEmpty():
+        links = links.union(derived)
+        comps = components(links, "a", "b")
+    rest = checkpoint(_beside_hubs(postings, 1 << bits, comps, hubs))
     if rest.isEmpty():
         return comps
     more = checkpoint(_verified(docs, reps, rest).filter(is_link).select("a", "b"))
