@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, decontaminate, quality, setjoin, substring
+from . import bpe, decontaminate, quality, setjoin, sharding, substring
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.encode(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_sharding(spark, sf_dir):
+    return sharding.assign(sharding.sized(table(spark, sf_dir, "documents")), 40)
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -37,6 +41,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op8_byte_bpe": op8_byte_bpe,
+        "op2_sharding": op2_sharding,
     }
 
 
