@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, decontaminate, quality, setjoin, sharding, substring
+from . import bpe, decontaminate, quality, setjoin, sharding, substring, urlfilter
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign(sharding.sized(table(spark, sf_dir, "documents")), 40)
 
 
+def op3_url_filters(spark, sf_dir):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, action string"))
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -42,6 +47,7 @@ def queries() -> dict:
         "op4_quality_classifier": op4_quality_classifier,
         "op8_byte_bpe": op8_byte_bpe,
         "op2_sharding": op2_sharding,
+        "op3_url_filters": op3_url_filters,
     }
 
 
