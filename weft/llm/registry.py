@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, decontaminate, quality, setjoin, sharding, substring, urlfilter
+from . import bpe, decontaminate, quality, setjoin, sharding, substring, tokencount, urlfilter
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op3_url_filters(spark, sf_dir):
     return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, action string"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -48,6 +52,7 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op2_sharding": op2_sharding,
         "op3_url_filters": op3_url_filters,
+        "op5_token_counts": op5_token_counts,
     }
 
 
