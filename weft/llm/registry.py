@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, decontaminate, quality, setjoin, sharding, substring, tokencount, urlfilter
+from . import bpe, decontaminate, lzprint, quality, setjoin, sharding, substring, tokencount, urlfilter
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op5_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op7_document_fingerprints(spark, sf_dir):
+    return lzprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op2_sharding": op2_sharding,
         "op3_url_filters": op3_url_filters,
         "op5_token_counts": op5_token_counts,
+        "op7_document_fingerprints": op7_document_fingerprints,
     }
 
 
