@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, decontaminate, lzprint, quality, setjoin, sharding, substring, tokencount, urlfilter
+from . import bpe, chat, decontaminate, lzprint, quality, setjoin, sharding, substring, tokencount, urlfilter
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_document_fingerprints(spark, sf_dir):
     return lzprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark, sf_dir):
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
@@ -58,8 +62,11 @@ def queries() -> dict:
         "op3_url_filters": op3_url_filters,
         "op5_token_counts": op5_token_counts,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op10_chat_formatting": chat.ORACLE,
+    }
