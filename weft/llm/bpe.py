@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name
 
@@ -169,7 +169,5 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
             columns = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(decoded)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *own])
 
-    schema = docs.schema
-    for name, kind in zip(own, ("binary", "bigint", "string", "string")):
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(run, schema)
+    kinds = (T.BinaryType(), T.LongType(), T.StringType(), T.StringType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, own, kinds)]))

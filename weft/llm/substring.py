@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name
 
@@ -136,10 +137,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], [*names, *own])
 
-    schema = docs.schema
-    for name in own:
-        schema = schema.add(name, "bigint")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in own)]))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
