@@ -41,11 +41,11 @@ def tpch_q1(spark, sf_dir):
 sql("tpch_q3", """
 SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate, o_orderpriority
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1995-03-15 00:00:00'
+WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-03-15 00:00:00' AND l_shipdate > TIMESTAMP '1996-03-15 00:00:00'
 GROUP BY l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, l_orderkey LIMIT 10""")
 sql("tpch_q4", """
 SELECT o_orderpriority, count(*) AS order_count FROM orders
-WHERE o_orderdate >= TIMESTAMP '1993-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1993-10-01 00:00:00'
+WHERE o_orderdate >= TIMESTAMP '1996-07-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-10-01 00:00:00'
   AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate)
 GROUP BY o_orderpriority""")
 sql("tpch_q5", """
@@ -56,7 +56,7 @@ WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppke
 GROUP BY n_name""")
 sql("tpch_q6", """
 SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00'
+WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00'
   AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""")
 sql("tpch_q7", """
 SELECT supp_nation, cust_nation, l_year, round(sum(volume), 0) AS revenue FROM (
@@ -67,7 +67,7 @@ SELECT supp_nation, cust_nation, l_year, round(sum(volume), 0) AS revenue FROM (
   WHERE n1.n_regionkey = 1 AND n2.n_regionkey = 2) AS shipping
 GROUP BY supp_nation, cust_nation, l_year""")
 sql("tpch_q8", """
-SELECT o_year, round(sum(CASE WHEN nation = 'BRAZIL' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
+SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
   SELECT CAST(extract(year FROM o_orderdate) AS INT) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation
   FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN nation n2 ON s_nationkey = n2.n_nationkey
@@ -81,7 +81,7 @@ sql("tpch_q12", """
 SELECT l_linestatus, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high_line_count,
        sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low_line_count
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE l_shipdate >= TIMESTAMP '1994-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1995-01-01 00:00:00' GROUP BY l_linestatus""")
+WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY l_linestatus""")
 sql("tpch_q13", """
 SELECT c_count, count(*) AS custdist FROM (
   SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus <> 'P'
@@ -95,7 +95,7 @@ SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)""")
 sql("tpch_q17", """
 SELECT round(sum(l_extendedprice) / 7.0, 4) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
-WHERE p_brand = 'Brand#23' AND l_quantity < (SELECT 0.8 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""")
+WHERE p_brand = 'Brand#4' AND l_quantity < (SELECT 0.8 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)""")
 sql("tpch_q18", """
 SELECT c_name, c_custkey, o_orderkey, o_totalprice, round(sum(l_quantity), 2) AS qty
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
@@ -114,7 +114,7 @@ GROUP BY s_name""")
 sql("tpch_q22", """
 SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer
 WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
-  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_nationkey""")
+  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY c_nationkey""")
 
 # Joins.
 sql("join_inner", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -129,13 +129,14 @@ sql("join_theta", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a J
 sql("join_theta_left", "SELECT a.r_name AS a_name, b.r_name AS b_name FROM region a LEFT JOIN region b ON a.r_regionkey < b.r_regionkey")
 sql("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'")
 sql("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 sql("join_not_in_null", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_nationkey > 3 THEN s_nationkey END FROM supplier)")
+sql("join_not_in", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000)")
 sql("join_null_safe", "SELECT a.k AS k, count(*) AS n FROM (SELECT nullif(n_regionkey, 2) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 2) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.k")
 sql("join_lateral", """SELECT r_name, x.n_name AS first_nation FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 1) AS x""")
 sql("join_lateral_left", """SELECT r_name, x.n AS n FROM region LEFT JOIN LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey > 10) AS x ON true""")
 sql("join_interval", """SELECT count(*) AS n, sum(a.event_id) AS s FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '1' HOUR""")
-sql("sub_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 2 * avg(o_totalprice) FROM orders)")
+sql("sub_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.9 * avg(o_totalprice) FROM orders)")
 sql("sub_in", "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
 sql("sub_correlated", "SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n FROM supplier")
 sql("with_cte", "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT max(n) AS m FROM a) SELECT o_custkey, n FROM a JOIN b ON n = m")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("weft.plans.relational",)
+MODULES = ("weft.plans.relational", "weft.plans.functions")
 
 
 def _gather(name: str) -> dict:
