@@ -1,6 +1,6 @@
 """Benchmark decontamination: a prefix-filtered set join in DataFrame functions only.
 
-Words are the pattern WORD over A-Z lower-cased text. An item's windows are its runs of WINDOW words; an item of fewer
+Words are what stands between matches of BETWEEN in the A-Z lower-cased text. An item's windows are its runs of WINDOW words; an item of fewer
 words, but not none, is one window. A document contains a window if all of its words stand there in a row, so under any
 word order one word of it, the rarest, is a necessary prefix. Rarity is counted over all documents. The join goes by this
 word alone; the length of the document and the word's position bound the window's place, and the words there are compared
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
 BITS = 1 << 18
 BROADCAST_WINDOWS = 100_000
@@ -29,7 +29,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), BETWEEN), "")
 
 
 def _at(word: Column) -> Column:
