@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from .common import free_name
 
-RUN, RUN_WORDS, SPAN_WORDS, LONG, CUT = 3, 8, 25, 24, 8
+#: Sentences and least words of a run, least words of what goes, words of a sentence that is cut and one in how many words cuts it.
+RUN, RUN_WORDS, SPAN_WORDS, LONG, CUT = 2, 2, 25, 16, 8
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
