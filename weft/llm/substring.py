@@ -1,10 +1,11 @@
 """Substring dedup over sliding runs of sentences.
 
 A text is cut into sentences (after . ! ? before white space, and after line ends); a sentence of more than LONG words
-is cut after words that a hash picks, so equal passages are cut alike wherever they stand. Every run of RUN consecutive
-sentences with RUN_WORDS words is hashed (lower case, white space as one blank) and joined globally. A run is repeated
-if it occurs at two places; its first place is the least (doc_id, hash of the text, position), null ids first.
-Sentences that a repeated run covers at another place go, where SPAN_WORDS words at least stand in a row.
+is cut after words that a hash picks, so equal passages are cut alike wherever they stand. From every sentence, the
+run of RUN consecutive sentences, and on to RUN_WORDS words where these are short, is hashed (lower case, white space as
+one blank) and joined globally. A run is repeated if it occurs in two documents; its first place is the least (doc_id,
+hash of the text, position), null ids first. Sentences that a repeated run covers at any other place go, where SPAN_WORDS
+words at least stand in a row. A document that only repeats itself is left alone.
 
 The kept sentences keep their exact text: a text with no removed sentence is unchanged. Rows equal in doc_id and text are
 one document and share one result. Null and empty texts stay as they are. Other columns pass through.
@@ -22,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, mixed
 
 #: Sentences and least words of a run, least words of what goes, words of a sentence that is cut and one in how many words cuts it.
-RUN, RUN_WORDS, SPAN_WORDS, LONG, CUT = 2, 2, 25, 16, 8
+RUN, RUN_WORDS, SPAN_WORDS, LONG, CUT = 2, 6, 25, 16, 8
 _END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
-_MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def sentences(text: str) -> list[str]:
@@ -53,37 +53,45 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def run_ends(words: np.ndarray) -> np.ndarray:
+    """End (not included) of the run from each sentence that has one, given the sentences' words: it takes RUN sentences
+    and goes on to RUN_WORDS words. A text that is shorter than a run is one."""
+    total = np.r_[0, np.cumsum(words)]
+    ends = np.maximum(np.arange(len(words)) + RUN, np.searchsorted(total, total[:-1] + RUN_WORDS))
+    ends = ends[ends <= len(words)]
+    return ends if len(ends) or not total[-1] else np.array([len(words)])
+
+
 def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first sentence of each run that has enough words."""
+    """Hash and first sentence of each run."""
     words = [p.lower().split() for p in parts]
     if not any(words):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.fromiter((xxhash.xxh64_intdigest(" ".join(w)) for w in words), np.uint64, len(words))
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    k = min(RUN, len(parts))
-    m = len(parts) - k + 1
-    s, count = np.full(m, k, np.uint64), np.zeros(m, np.int64)
-    for i in range(k):
-        s += h[i : m + i] * _MUL[i]
-        count += n[i : m + i]
-    s ^= s >> np.uint64(31)
-    keep = np.flatnonzero(count >= RUN_WORDS)
-    return s[keep].view(np.int64), keep
+    ends = run_ends(np.fromiter(map(len, words), np.int64, len(words)))
+    length = ends - np.arange(len(ends))
+    s = mixed(length.astype(np.uint64))
+    for i in range(int(length.max())):
+        own = np.flatnonzero(length > i)
+        s[own] = mixed(s[own] + h[own + i])
+    return s.view(np.int64), np.arange(len(ends))
 
 
 def without(text: str, starts: list[int]) -> tuple[str, int, int]:
     """The text less the sentences that runs at these starts cover, the number of sentences and of those that went."""
     parts = sentences(text)
+    words = np.fromiter((len(p.split()) for p in parts), np.int64, len(parts))
+    ends = run_ends(words)
     covered = np.zeros(len(parts), bool)
     for i in starts:
-        covered[i : i + RUN] = True
+        covered[i : ends[i]] = True
     gone, i = 0, 0
     kept = []
     while i < len(parts):
         j = i
         while j < len(parts) and covered[j] == covered[i]:
             j += 1
-        if covered[i] and sum(len(p.split()) for p in parts[i:j]) >= SPAN_WORDS:
+        if covered[i] and words[i:j].sum() >= SPAN_WORDS:
             gone += j - i
         else:
             kept += parts[i:j]
@@ -110,7 +118,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.mapInArrow(_run_rows, f"h long, doc_id {kind}, th long, pos int")
     place = F.struct("doc_id", "th", "pos")
-    first = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h").alias("rh"), "first")
+    ends = found.groupBy("h").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"))
+    first = ends.filter(~F.struct("first.doc_id", "first.th").eqNullSafe(F.col("last"))).select(F.col("h").alias("rh"), "first")
     return found.join(first, F.col("h") == F.col("rh")).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
 
 
