@@ -1 +1 @@
-
+"""Operators of the three data models, on DataFrames."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("weft.plans.relational", "weft.plans.functions")
+MODULES = ("weft.plans.relational", "weft.plans.functions", "weft.plans.flow")
 
 
 def _gather(name: str) -> dict:
