@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("weft.plans.relational", "weft.plans.functions", "weft.plans.flow", "weft.plans.documents")
+MODULES = ("weft.plans.relational", "weft.plans.functions", "weft.plans.flow", "weft.plans.documents", "weft.plans.graphs")
 
 
 def _gather(name: str) -> dict:
