@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free_name
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
@@ -116,6 +116,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs with no whole window of WINDOW words of any item and windows of less than two items, with their
-    columns. Hits on short items alone, which chance can make, don't condemn a document unless there are two."""
-    gone = contained(docs, benchmark).filter(F.col("contaminated") | (F.col("n_hit") >= WINDOW)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    columns. Hits on short items alone, which chance can make, don't condemn a document unless there are two. Rows that
+    share an id (or have none) share its fate."""
+    name = free_name(docs, "gone")
+    gone = contained(docs, benchmark).filter(F.col("contaminated") | (F.col("n_hit") >= WINDOW)).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

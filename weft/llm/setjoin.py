@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mixed, parallelism, signed, text_bytes, word_hashes
+from .common import checkpoint, free_name, mixed, parallelism, signed, text_bytes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -546,5 +546,6 @@ def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | No
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that no linked row with a smaller doc_id stands for. Rows without an id stay; of rows that share
     the smallest id, all stay."""
-    ids = jaccard_components(docs).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    ids = jaccard_components(docs).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")

@@ -28,27 +28,28 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def assign(rows: DataFrame, shards: int) -> DataFrame:
-    """The columns of rows(doc_id, size, ...) with law, shard, slot and grown_shard (null: more shards move the cuts)."""
+    """The columns of rows(doc_id, size, ...) with law, shard, slot and grown_shard (null: more shards move the cuts); names
+    that rows has get _ after them."""
     spark = rows.sparkSession
-    least = F.lit(-(1 << 63)).cast("long")
-    tie = F.xxhash64(F.monotonically_increasing_id())
-    held = checkpoint(rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), least)).withColumn("_tie", tie))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    held = checkpoint(rows.select(F.struct(*rows.columns).alias("row"), F.col("size"), key.alias("key"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")))
     parts = min(PARTS, max(8 * parallelism(spark), held.count() // ROWS_IN_PART))
-    held = held.withColumn("_part", bucket_of(F.col("_key"), F.col("_tie"), bounds_of(held, "_key", parts)))
-    order = Window.partitionBy("_part").orderBy("_key", "_tie")
-    placed = held.withColumn("_row", F.row_number().over(order)).withColumn("_sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = held.groupBy("_part").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
-    before, everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    held = held.withColumn("part", bucket_of(F.col("key"), F.col("tie"), bounds_of(held, "key", parts)))
+    order = Window.partitionBy("part").orderBy("key", "tie")
+    placed = held.withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = held.groupBy("part").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    before, everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     offsets = totals.select(
-        F.col("_part").alias("_p"),
-        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s0"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"),
-        F.sum("s").over(everything).alias("_all"),
+        F.col("part").alias("p"),
+        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+        F.sum("s").over(everything).alias("total"),
     )
-    summed = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
-    middle = 2 * (F.col("_s0") + F.col("_sum")) - F.col("size")
-    cut = summed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle.cast("decimal(38,0)") * shards / (2 * F.col("_all"))).cast("int"))).withColumn("_at", F.col("_n0") + F.col("_row") - 1)
-    first = cut.groupBy(F.col("shard").alias("_shard")).agg(F.min("_at").alias("_first"))
-    return cut.join(F.broadcast(first), F.col("shard") == F.col("_shard")).select(
-        *rows.columns, F.lit("bytes").alias("law"), "shard", (F.col("_at") - F.col("_first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    summed = placed.join(F.broadcast(offsets), F.col("part") == F.col("p"))
+    middle = (2 * (F.col("s0") + F.col("sum")) - F.col("size")).cast("decimal(38,0)")
+    cut = summed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / (2 * F.col("total"))).cast("int"))).withColumn("at", F.col("n0") + F.col("place") - 1)
+    first = cut.groupBy(F.col("shard").alias("first_shard")).agg(F.min("at").alias("first"))
+    law, shard, slot, grown = (free_name(rows, c) for c in ("law", "shard", "slot", "grown_shard"))
+    return cut.join(F.broadcast(first), F.col("shard") == F.col("first_shard")).select(
+        *[F.col("row")[c].alias(c) for c in rows.columns], F.lit("bytes").alias(law), F.col("shard").alias(shard), (F.col("at") - F.col("first")).alias(slot), F.lit(None).cast("int").alias(grown)
     )

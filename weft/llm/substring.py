@@ -127,8 +127,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The rows of docs with repeated spans cut from the text, and n_sentences and n_removed (with _ after them where docs
     has columns of these names)."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    marks = repeated_runs(keyed).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_starts")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_starts")
-    joined = docs.join(marks, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left").select(*[docs[c] for c in docs.columns], "_starts")
+    id_, th, starts_ = (free_name(docs, c) for c in ("id_", "th_", "starts_"))
+    marks = repeated_runs(keyed).groupBy("doc_id", "th").agg(F.collect_set("pos").alias(starts_)).select(F.col("doc_id").alias(id_), F.col("th").alias(th), starts_)
+    joined = docs.join(marks, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(th)), "left").select(*docs.columns, starts_)
     at, names = docs.columns.index(text), docs.columns
     own = [free_name(docs, c) for c in ("n_sentences", "n_removed")]
 
