@@ -1,6 +1,7 @@
 import random
 
 from weft.llm import substring
+from weft.llm.common import word_hashes, words_at
 
 
 def passage(r, n):
@@ -12,31 +13,76 @@ def passage(r, n):
     return " ".join(out)
 
 
-def cut(spark, rows, schema="doc_id long, text string"):
-    got = substring.remove_repeats(spark.createDataFrame(rows, schema)).collect()
-    return got
-
-
 def test_parts_are_the_text():
     r = random.Random(1)
-    for _ in range(200):
-        t = "".join(r.choice("ab .!?\n") for _ in range(r.randint(0, 80))) + " ".join("w%d" % r.randint(0, 9) for _ in range(r.randint(0, 60)))
-        assert "".join(substring.sentences(t)) == t
-        assert substring.without(t, [])[0] == t
+    for _ in range(300):
+        t = "".join(r.choice("ab .!?\n)é") for _ in range(r.randint(0, 80))) + " ".join("w%d" % r.randint(0, 9) for _ in range(r.randint(0, 60)))
+        s = substring.Sentences(t.encode())
+        assert s.words.sum() == len(t.split())
+        assert s.without([])[0] == t.encode() or not t.split()
+        for i in range(len(s.runs())):
+            kept, gone = s.without([i])
+            assert len(kept.split()) == len(t.split()) - (s.words[i : s.ends()[i]].sum() if gone else 0)
+
+
+def plain_runs(t):
+    """Word tuples of the runs, by a plain reading of the rule."""
+    lines = t.split("\n")
+    words = [(w, w[-1] in ".!?" or len(w) > 1 and w[-1] in "\"')]" and w[-2] in ".!?" or i == len(l.split()) - 1) for l in lines for i, w in enumerate(l.split())]
+    parts, now = [], []
+    for w, end in words:
+        now.append(w)
+        if end:
+            parts.append(now)
+            now = []
+    cut = []
+    for p in parts:
+        if len(p) <= substring.LONG:
+            cut.append(p)
+            continue
+        now = []
+        for w in p:
+            now.append(w)
+            if int(word_hashes(w.encode())[0]) % substring.CUT == 0:
+                cut.append(now)
+                now = []
+        cut += [now] if now else []
+    out = []
+    for i in range(len(cut)):
+        j = i
+        while j < len(cut) and (j - i < substring.RUN or sum(map(len, cut[i:j])) < substring.RUN_WORDS):
+            j += 1
+        if j - i >= substring.RUN and sum(map(len, cut[i:j])) >= substring.RUN_WORDS:
+            out.append(tuple(w.lower() for p in cut[i:j] for w in p))
+    return out or ([tuple(w.lower() for p in cut for w in p)] if cut else [])
+
+
+def test_runs_by_the_rule():
+    r, seen = random.Random(5), {}
+    for _ in range(300):
+        t = " ".join(r.choice(["a", "B", "c.", "d!", "e?)", "f\n", "gé", "h'"]) for _ in range(r.randint(0, 60)))
+        got, expected = substring.Sentences(t.encode()).runs().tolist(), plain_runs(t)
+        assert len(got) == len(expected), t
+        for h, w in zip(got, expected):
+            assert seen.setdefault(h, w) == w
+    assert len(set(seen.values())) == len(seen)
+
+
+def cut(spark, rows, schema="doc_id long, text string"):
+    return substring.remove_repeats(spark.createDataFrame(rows, schema)).collect()
 
 
 def brute(rows):
     """Texts after the removal, from all runs in one dictionary."""
     places, hashes = {}, {}
     for d, t in rows:
-        h, p = substring.runs(substring.sentences(t)) if t else ([], [])
-        for x, y in zip(h, p):
-            places.setdefault(int(x), []).append((d, int(y)))
-            hashes.setdefault((d, int(y)), int(x))
+        for y, x in enumerate(substring.Sentences(t.encode()).runs().tolist() if t else []):
+            places.setdefault(x, []).append((d, y))
+            hashes[d, y] = x
     out = {}
     for d, t in rows:
         starts = [y for (e, y), x in hashes.items() if e == d and len({p[0] for p in places[x]}) > 1 and min(places[x]) != (d, y)]
-        out[d] = substring.without(t, starts)[0] if t and starts else t
+        out[d] = substring.Sentences(t.encode()).without(starts)[0].decode() if t and starts else t
     return out
 
 
@@ -73,3 +119,15 @@ def test_repeats_within_one_document_stay(spark):
 def test_empty_table(spark):
     assert cut(spark, []) == []
     assert substring.cut_repeats(spark.createDataFrame([], "doc_id long, text string, n_chars long, starts_ int")).columns == ["doc_id", "text", "n_chars", "starts_"]
+
+
+def test_blocks_of_long_texts(monkeypatch):
+    from weft.llm import common
+
+    r = random.Random(6)
+    texts = [" ".join("x" * r.choice([1, 3, 9, 200]) for _ in range(60)).encode() + b" " * r.randint(0, 3) for _ in range(60)]
+    whole = [words_at(t) for t in texts]
+    monkeypatch.setattr(common, "_BLOCK", 250)
+    for t, (a, b, h) in zip(texts, whole):
+        x, y, g = words_at(t)
+        assert x.tolist() == a.tolist() and y.tolist() == b.tolist() and g.tolist() == h.tolist()

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import bounded_batches, free_name
 
 LEAF_CHARS = 8192
 LEAF_BYTES = 256
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     """The rows of docs and, under the names ids, n_tokens, ids_sha256 and decoded_sha256 (or with _ after them where docs
     has these), the encoding, its length and digests of it and of its decoding. The rank file, of fixed size, is read by
     the driver and broadcast."""
+    bounded_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.sources.catalog import table
 
-__all__ = ["table", "checkpoint", "text_bytes", "mixed", "word_hashes", "signed", "free_name", "bounds_of", "bucket_of", "parallelism"]
+__all__ = ["table", "checkpoint", "bounded_batches", "text_bytes", "mixed", "word_hashes", "signed", "free_name", "bounds_of", "bucket_of", "parallelism"]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -23,6 +24,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Python workers get, since texts have no bound; a session that asks for less keeps it."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "0"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = re.match(r"(\d+)b?$", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES + 1}b"))
+    if not size or int(size[1]) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +73,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = _powers(_BASE, _BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)
+_GROWN: dict = {}
+
+
+def powers(up: bool, n: int) -> np.ndarray:
+    """The first n powers of an odd base modulo 2**64, or of its inverse."""
+    got = _GROWN.get(up)
+    if got is None or len(got) < n:
+        got = _GROWN[up] = _powers(_BASE if up else pow(_BASE, -1, 1 << 64), max(_BLOCK + 1, 1 << n.bit_length()))
+    return got[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,29 +90,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space, A-Z lower-cased: differences of one running polynomial sum."""
+    """64-bit hashes of the words between ASCII white space, A-Z lower-cased."""
+    return words_at(raw)[2]
+
+
+def words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word between ASCII white space: hashes are differences of one running polynomial sum,
+    A-Z count as a-z. Long texts go in blocks, so the sums stay small in memory."""
     if len(raw) <= _BLOCK:
-        return _block_hashes(np.frombuffer(raw, np.uint8))
-    out, at = [], 0
+        return _block_words(np.frombuffer(raw, np.uint8))
+    parts, at = [], 0
     while at < len(raw):
         end = min(len(raw), at + _BLOCK)
         if end < len(raw):
             back = next((i for i in range(end, at, -1) if _SPACE[raw[i]]), at)
             if back == at:  # one word longer than a block
+                start = at + (1 if _SPACE[raw[at]] else 0)
                 end = next((i for i in range(end, len(raw)) if _SPACE[raw[i]]), len(raw))
-                word = raw[at:end].lower().split()
-                out.append(np.array([xxhash.xxh64_intdigest(w) for w in word], np.uint64))
+                parts.append((np.array([start]), np.array([end]), np.array([xxhash.xxh64_intdigest(raw[start:end].lower())], np.uint64)))
                 at = end
                 continue
             end = back
-        out.append(_block_hashes(np.frombuffer(raw, np.uint8, end - at, at)))
+        s, e, h = _block_words(np.frombuffer(raw, np.uint8, end - at, at))
+        parts.append((s + at, e + at, h))
         at = end
-    return np.concatenate(out)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _block_hashes(b: np.ndarray) -> np.ndarray:
+def _block_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.empty(0, np.int64)
     if not len(b):
-        return np.empty(0, np.uint64)
+        return none, none, none.astype(np.uint64)
     space = _SPACE[b]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
@@ -98,12 +128,12 @@ def _block_hashes(b: np.ndarray) -> np.ndarray:
     if not space[-1]:
         edge = np.r_[edge, len(b)]
     if not len(edge):
-        return np.empty(0, np.uint64)
+        return none, none, none.astype(np.uint64)
     sums = np.empty(len(b) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
+    np.cumsum(_BYTE[b] * powers(True, len(b)), out=sums[1:])
     start, end = edge[::2], edge[1::2]
-    return mixed((sums[end] - sums[start]) * _DOWN[start] + (end - start).astype(np.uint64))
+    return start, end, mixed((sums[end] - sums[start]) * powers(False, len(b) + 1)[start] + (end - start).astype(np.uint64))
 
 
 def bounds_of(df: DataFrame, key: str, n: int) -> list[int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds_of, bucket_of, parallelism
+from .common import bounded_batches, bounds_of, bucket_of, parallelism
 
 KEPT = 64
 RANGE_ROWS = 20_000
@@ -135,6 +135,7 @@ _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpri
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row of
     docs(doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("tie", F.xxhash64("text"))
     parts = min(4096, max(parallelism(docs.sparkSession), docs.count() // RANGE_ROWS))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
 DIAGONAL, POOLED = 0.1, 0.2  # shrinkage weights
@@ -126,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mode
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs(doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -141,6 +144,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with their columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -28,14 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name, mixed, parallelism, signed, text_bytes, word_hashes
+from .bloom import Bloom
+from .common import bounded_batches, checkpoint, free_name, mixed, parallelism, signed, text_bytes, word_hashes
 from .components import components
 
 WORDS = 5
 NUM, DEN = 75, 100
 HOT_TOKENS = 1 << 21  # entries of the order table
 HOT_LEAST = 8  # sets that share a token before it counts as frequent
-POSTINGS = 1 << 20  # index entries that a task holds before it packs them
+POSTINGS = 1 << 19  # index entries that a task holds before it packs them
 BLOCK = 1024  # sets in a block of an index list
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _U = np.uint64
@@ -294,37 +295,15 @@ def _open_lists(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["list", "hub", "set_id", "n", "pos"])
 
 
-def _bloom_bits(count: int) -> int:
-    return min(30, max(12, int(16 * max(count, 1)).bit_length()))
-
-
-def _bloom(keys: DataFrame, column: str):
-    """Bits that are set for each key: a table of fixed size, gathered from one table a partition."""
-    bits = _bloom_bits(keys.count())
-
-    def run(batches):
-        held = np.zeros(1 << bits, bool)
-        for batch in batches:
-            held[np.asarray(batch.column(0)).astype(np.int64).view(np.uint64) >> _U(64 - bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(held).tobytes())], pa.binary())], ["b"])
-
-    held = np.zeros(1 << bits >> 3, np.uint8)
-    for row in keys.select(column).coalesce(8).mapInArrow(run, "b binary").toLocalIterator():
-        held |= np.frombuffer(zstandard.decompress(row.b), np.uint8)
-    return bits, held
-
-
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_id, text) of the wanted (set_id, th); only texts that may be wanted are shuffled."""
-    bits, held = _bloom(wanted, "th")
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    bloom = Bloom.of(wanted, "th")
 
     def run(batches):
         seen: set = set()
         for batch in batches:
             th = np.asarray(batch.column("th")).astype(np.int64)
-            at = th.view(np.uint64) >> _U(64 - bits)
-            keep = np.flatnonzero(shared.value[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1)
+            keep = np.flatnonzero(bloom.may_hold(th))
             keep = [i for i, h in zip(keep.tolist(), th[keep].tolist()) if not (h in seen or seen.add(h))]
             if len(seen) >= 1 << 20:
                 seen.clear()
@@ -497,6 +476,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text); see the module's text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    bounded_batches(spark)
     ids = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_identify, "doc_id long, th long, set_id long, n long"))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     links = _links(spark, docs, ids, total)
@@ -514,7 +494,7 @@ def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | No
     """(node, component) of the sets that are linked with another."""
     if not total:
         return None
-    bits = max(parallelism(spark) - 1, total // (2 * POSTINGS)).bit_length()
+    bits = max(parallelism(spark) - 1, total // (4 * POSTINGS)).bit_length()
     text = docs.select("text")
     counted = text.mapInArrow(_counted(bits), "bucket int, v binary, c binary").repartitionById(1 << bits, F.col("bucket"))
     got = counted.mapInArrow(_frequent(max(1, HOT_TOKENS >> bits)), "v binary, c binary").collect()

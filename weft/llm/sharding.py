@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounds_of, bucket_of, checkpoint, parallelism
+from .common import bounds_of, bucket_of, checkpoint, free_name, parallelism
 
 OVERHEAD = 16
 PARTS = 4096

@@ -1,131 +1,138 @@
 """Substring dedup over sliding runs of sentences.
 
-A text is cut into sentences (after . ! ? before white space, and after line ends); a sentence of more than LONG words
-is cut after words that a hash picks, so equal passages are cut alike wherever they stand. From every sentence, the
-run of RUN consecutive sentences, and on to RUN_WORDS words where these are short, is hashed (lower case, white space as
-one blank) and joined globally. A run is repeated if it occurs in two documents; its first place is the least (doc_id,
-hash of the text, position), null ids first. Sentences that a repeated run covers at any other place go, where SPAN_WORDS
-words at least stand in a row. A document that only repeats itself is left alone.
+A text is words between ASCII white space. A sentence ends after a word that ends in . ! or ? (a quote or bracket may
+follow), and at a line end; a sentence of more than LONG words is cut after words that a hash picks, so equal passages are
+cut alike wherever they stand. From every sentence, the run of RUN consecutive sentences, and on to RUN_WORDS words where
+these are short, is hashed (by its words, A-Z lower-cased) and joined globally. A run is repeated if it occurs in two
+documents; its first place is the least (doc_id, hash of the text, position), null ids first. Sentences that a repeated run
+covers at any other place go, where SPAN_WORDS words at least stand in a row. A document that only repeats itself is left
+alone.
 
 The kept sentences keep their exact text: a text with no removed sentence is unchanged. Rows equal in doc_id and text are
 one document and share one result. Null and empty texts stay as they are. Other columns pass through.
+
+Every run's row is read twice: once for the first places, summed before they are shuffled, and once for the join, where a
+bit table of the repeated hashes, of bounded size, lets only likely repeats through. A run that a third of all documents
+share is one row on the side of the first places, and its rows on the other side are dealt anew by the skewed join.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mixed
+from .bloom import Bloom
+from .common import bounded_batches, checkpoint, free_name, mixed, powers, text_bytes, words_at
 
 #: Sentences and least words of a run, least words of what goes, words of a sentence that is cut and one in how many words cuts it.
 RUN, RUN_WORDS, SPAN_WORDS, LONG, CUT = 2, 6, 25, 16, 8
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n\s*")
-_WORD = re.compile(r"\S+\s*")
-
-
-def sentences(text: str) -> list[str]:
-    """Consecutive parts of the text, each with the white space after it; together they are the text."""
-    out, at = [], 0
-    for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        part = text[at:end]
-        at = end
-        if not part:
-            continue
-        if len(part) > 2 * LONG and len(part.split()) > LONG:
-            start = 0
-            for m in _WORD.finditer(part):
-                if zlib.crc32(m[0].strip().lower().encode()) % CUT == 0 and m.end() < len(part):
-                    out.append(part[start : m.end()])
-                    start = m.end()
-            part = part[start:]
-        if out and not part.strip():
-            out[-1] += part
-        else:
-            out.append(part)
-    return out
-
-
-def run_ends(words: np.ndarray) -> np.ndarray:
-    """End (not included) of the run from each sentence that has one, given the sentences' words: it takes RUN sentences
-    and goes on to RUN_WORDS words. A text that is shorter than a run is one."""
-    total = np.r_[0, np.cumsum(words)]
-    ends = np.maximum(np.arange(len(words)) + RUN, np.searchsorted(total, total[:-1] + RUN_WORDS))
-    ends = ends[ends <= len(words)]
-    return ends if len(ends) or not total[-1] else np.array([len(words)])
-
-
-def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first sentence of each run."""
-    words = [p.lower().split() for p in parts]
-    if not any(words):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter((xxhash.xxh64_intdigest(" ".join(w)) for w in words), np.uint64, len(words))
-    ends = run_ends(np.fromiter(map(len, words), np.int64, len(words)))
-    length = ends - np.arange(len(ends))
-    s = mixed(length.astype(np.uint64))
-    for i in range(int(length.max())):
-        own = np.flatnonzero(length > i)
-        s[own] = mixed(s[own] + h[own + i])
-    return s.view(np.int64), np.arange(len(ends))
-
-
-def without(text: str, starts: list[int]) -> tuple[str, int, int]:
-    """The text less the sentences that runs at these starts cover, the number of sentences and of those that went."""
-    parts = sentences(text)
-    words = np.fromiter((len(p.split()) for p in parts), np.int64, len(parts))
-    ends = run_ends(words)
-    covered = np.zeros(len(parts), bool)
-    for i in starts:
-        covered[i : ends[i]] = True
-    gone, i = 0, 0
-    kept = []
-    while i < len(parts):
-        j = i
-        while j < len(parts) and covered[j] == covered[i]:
-            j += 1
-        if covered[i] and words[i:j].sum() >= SPAN_WORDS:
-            gone += j - i
-        else:
-            kept += parts[i:j]
-        i = j
-    return "".join(kept), len(parts), gone
-
-
-def _run_rows(batches):
-    for batch in batches:
-        hashes, rows, at = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            if text:
-                h, p = runs(sentences(text))
-                hashes.append(h)
-                at.append(p)
-                rows.append(np.full(len(h), i))
-        if hashes:
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(np.concatenate(at).astype(np.int32))], ["h", "doc_id", "th", "pos"])
+_CLOSE, _STOP = (np.isin(np.arange(256), list(x)) for x in (b"\"')]", b".!?"))
+
+
+class Sentences:
+    """The sentences of a text: first byte and words of each, and the hashes of its words."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        start, end, self.hashes = words_at(raw)
+        n = len(start)
+        if not n:
+            self.first = self.words = np.empty(0, np.int64)
+            self.offsets = np.empty(0, np.int64)
+            return
+        b = np.frombuffer(raw, np.uint8)
+        last = b[end - 1]
+        last = np.where(_CLOSE[last] & (end - start > 1), b[end - 2], last)
+        lines = np.cumsum(b == 10)
+        done = _STOP[last]
+        done[:-1] |= lines[start[1:]] > lines[end[:-1] - 1]
+        done[-1] = True
+        stops = np.flatnonzero(done)
+        size = np.diff(np.r_[-1, stops])
+        if size.max() > LONG:
+            done |= np.repeat(size > LONG, size) & (self.hashes % np.uint64(CUT) == 0)
+            stops = np.flatnonzero(done)
+        self.first = np.r_[0, stops[:-1] + 1]  # first word of each sentence
+        self.words = np.diff(np.r_[self.first, n])
+        self.offsets = start[self.first]
+        self.offsets[0] = 0
+
+    def ends(self) -> np.ndarray:
+        """End (not included) of the run from each sentence that has one. A text that is shorter than a run is one."""
+        m = len(self.words)
+        if not m:
+            return np.empty(0, np.int64)
+        total = np.r_[0, np.cumsum(self.words)]
+        ends = np.maximum(np.arange(m) + RUN, np.searchsorted(total, total[:-1] + RUN_WORDS))
+        ends = ends[ends <= m]
+        return ends if len(ends) else np.array([m])
+
+    def runs(self) -> np.ndarray:
+        """Hash of the run from each sentence that has one."""
+        ends = self.ends()
+        n = len(self.hashes)
+        if not n:
+            return np.empty(0, np.int64)
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(self.hashes * powers(True, n), out=sums[1:])
+        a, b = self.first[: len(ends)], np.r_[self.first, n][ends]
+        return mixed(mixed((sums[b] - sums[a]) * powers(False, n)[a]) + (b - a).astype(np.uint64)).view(np.int64)
+
+    def without(self, starts) -> tuple[bytes, int]:
+        """The text less the sentences that runs at these starts cover, and the number of sentences that went."""
+        m, ends = len(self.words), self.ends()
+        edge = np.zeros(m + 1, np.int64)
+        starts = np.asarray(starts, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, ends[starts], -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        turn = np.flatnonzero(np.r_[True, covered[1:] != covered[:-1]])
+        kept, gone = [], 0
+        offsets = np.r_[self.offsets, len(self.raw)]
+        for i, j in zip(turn.tolist(), [*turn[1:].tolist(), m]):
+            if covered[i] and self.words[i:j].sum() >= SPAN_WORDS:
+                gone += j - i
+            else:
+                kept.append(self.raw[offsets[i] : offsets[j]])
+        return b"".join(kept), gone
+
+
+def _run_rows(bloom=None):
+    def run(batches):
+        for batch in batches:
+            hashes, rows, at = [], [], []
+            for i, raw in enumerate(text_bytes(batch.column("text"))):
+                if raw:
+                    h = Sentences(raw).runs()
+                    p = np.arange(len(h), dtype=np.int32) if bloom is None else np.flatnonzero(bloom.may_hold(h)).astype(np.int32)
+                    hashes.append(h[p])
+                    at.append(p)
+                    rows.append(np.full(len(p), i))
+            if hashes:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(np.concatenate(at))], ["h", "doc_id", "th", "pos"])
+
+    return run
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos) of every run of docs(doc_id, th, text) that is not the first of its hash."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_run_rows, f"h long, doc_id {kind}, th long, pos int")
+    """(doc_id, th, pos) of every run of docs(doc_id, th, text), in two documents at least, that is not the first."""
+    schema = f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, pos int"
     place = F.struct("doc_id", "th", "pos")
-    ends = found.groupBy("h").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"))
-    first = ends.filter(~F.struct("first.doc_id", "first.th").eqNullSafe(F.col("last"))).select(F.col("h").alias("rh"), "first")
+    ends = docs.mapInArrow(_run_rows(), schema).groupBy("h").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"))
+    first = checkpoint(ends.filter(~F.struct("first.doc_id", "first.th").eqNullSafe(F.col("last"))).select(F.col("h").alias("rh"), "first"))
+    found = docs.mapInArrow(_run_rows(Bloom.of(first, "rh")), schema)
     return found.join(first, F.col("h") == F.col("rh")).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with repeated spans cut from the text, and n_sentences and n_removed (with _ after them where docs
     has columns of these names)."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     id_, th, starts_ = (free_name(docs, c) for c in ("id_", "th_", "starts_"))
     marks = repeated_runs(keyed).groupBy("doc_id", "th").agg(F.collect_set("pos").alias(starts_)).select(F.col("doc_id").alias(id_), F.col("th").alias(th), starts_)
@@ -136,16 +143,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def run(batches):
         for batch in batches:
             texts, sizes, gone = [], [], []
-            for x, starts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if x and starts:
-                    x, n, g = without(x, starts)
-                else:
-                    n, g = len(sentences(x)) if x else 0, 0
-                texts.append(x)
-                sizes.append(n)
+            for raw, starts in zip(text_bytes(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()):
+                s = Sentences(raw) if raw else None
+                g = 0
+                if s and starts:
+                    raw, g = s.without(starts)
+                texts.append(raw)
+                sizes.append(len(s.words) if s else 0)
                 gone.append(g)
             columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], [*names, *own])
 
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(name, T.LongType()) for name in own)]))

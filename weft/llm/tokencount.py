@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import codec_of
+from .common import bounded_batches
 
 _LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 
@@ -34,6 +35,7 @@ def attribute(ends: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, section, start and end (bytes), n_tokens and doc_tokens: a row for each section of docs(doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
