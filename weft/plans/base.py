@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weft.sources.catalog import register, table
+import re
+
+from weft.sources.catalog import TABLES, register, table
 
 __all__ = ["Catalog", "table"]
 
@@ -30,8 +32,10 @@ class Catalog:
     def sql(self, name: str, text: str, oracle: str | None = None) -> None:
         """Registers a query given as SQL; its twin is the same text unless dialects differ."""
 
+        names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
         def run(spark, sf_dir):
-            register(spark, sf_dir)
+            register(spark, sf_dir, names)
             return spark.sql(text)
 
         self.query(name, oracle or text)(run)
