@@ -14,9 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE = "struct<id:string,labels:array<string>,properties:map<string,string>>"
-EDGE = "struct<id:string,source:string,target:string,labels:array<string>,properties:map<string,string>>"
-
 
 def node_rows(df: DataFrame, label: str, key: str, id_prefix: str | None = None) -> DataFrame:
     """Each row as a node: its columns are the properties, the table's name the label."""
