@@ -449,7 +449,7 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def _mixed_groups(rows: DataFrame, group: str, also=None) -> DataFrame:
     """The rows of groups that hold more than one component, with their number m."""
     sums = rows.groupBy(group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.lit(True) if also is None else also).alias("also"))
-    return rows.join(sums.filter("lo <> hi and also").select(group, "m"), group)
+    return rows.join(checkpoint(sums.filter("lo <> hi and also").select(group, "m")), group)  # a side of its own: a hot group's rows can be dealt anew
 
 
 def _within_hubs(hubs: DataFrame, comps: DataFrame) -> DataFrame:
