@@ -194,3 +194,18 @@ def test_activities(spark):
         flow.append_columns(df.select("k"), df.filter("k = 1").select("s"), ["k"], ["s"], "FAIL").collect()
     assert flow.surrogate_key(df, "id").count() == 2
     assert flow.cast(df, {"s": "int"}, strict=False).filter("s is null").count() == 2
+
+
+def test_resource_changes_and_sequences(spark):
+    c = ddl.Catalogue(spark, "weft_rest")
+    try:
+        c.create("t", spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"))
+        assert ddl.rest_change(c, "POST t", spark.createDataFrame([(3, "c")], "k int, s string")) == 1
+        assert ddl.rest_change(c, "PATCH t?k=>=2", spark.createDataFrame([("z",)], "s string")) == 2
+        assert ddl.rest_change(c, "DELETE t?s=%25z%25&k=<3".replace("%25z%25", "%25z")) == 1
+        assert sorted(tuple(r) for r in c.read("t").collect()) == [(1, "a"), (3, "z")]
+        q = ddl.Sequence(10, 5)
+        assert (q.next(), q.next(), q.current()) == (10, 15, 15)
+        assert [r.n for r in q.for_rows(c.read("t"), "n", ["k"]).orderBy("k").collect()] == [20, 25] and q.next() == 30
+    finally:
+        c.drop_namespace()

@@ -154,6 +154,43 @@ class Catalogue:
         (w.partitionBy(*by) if by else w).saveAsTable(self.name(table))
 
 
+class Sequence:
+    """NEXT VALUE and CURRENT VALUE of a counter on the driver; values for rows of a frame come from their order."""
+
+    def __init__(self, start: int = 1, step: int = 1):
+        self.now, self.step = start - step, step
+
+    def next(self) -> int:
+        self.now += self.step
+        return self.now
+
+    def current(self) -> int:
+        return self.now
+
+    def for_rows(self, df: DataFrame, name: str, order: list) -> DataFrame:
+        from weft.operators.flow import positions
+
+        n, first = df.count(), self.now + self.step
+        self.now += n * self.step
+        return positions(df, order).withColumn(name, F.lit(first) + F.col("_pos") * self.step).drop("_pos")
+
+
+def rest_change(catalogue: Catalogue, request: str, rows: DataFrame | None = None) -> int:
+    """POST table (rows are inserted), PATCH table?filters&column=value of the rows' first, DELETE table?filters. Filters are
+    as in a GET request."""
+    from weft.operators.lang import rest_filters
+
+    verb, _, rest = request.strip().partition(" ")
+    name, _, query = rest.strip().lstrip("/").partition("?")
+    if verb.upper() == "POST":
+        return catalogue.insert(name, rows)
+    condition = rest_filters(query)
+    if verb.upper() == "DELETE":
+        return catalogue.delete(name, condition)
+    values = rows.first().asDict()
+    return catalogue.update(name, condition, {k: F.lit(v) for k, v in values.items()})
+
+
 def statistics(df: DataFrame) -> DataFrame:
     """One row a column: rows, nulls, distinct values, least and greatest value as text; one pass."""
     simple = [f.name for f in df.schema.fields if f.dataType.simpleString().split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "string", "date", "timestamp", "timestamp_ntz", "boolean")]

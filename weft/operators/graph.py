@@ -583,3 +583,77 @@ class Cypher:
 
 def run(graph: Graph, text: str) -> DataFrame:
     return Cypher(graph).run(text)
+
+
+# Changes as text.
+
+
+def execute(graph: Graph, text: str) -> Graph:
+    """CREATE, or MATCH … [WHERE …] with SET, REMOVE or DELETE; gives the changed graph. New elements get ids from their
+    pattern's text, so that running a plan again gives the same ones."""
+    head = re.match(r"\s*CREATE\b(.*)$", text, re.I | re.S)
+    if head:
+        return _created(graph, head[1])
+    m = re.match(r"(.*?)\b(SET|REMOVE|DETACH\s+DELETE|DELETE)\b(.*)$", text, re.I | re.S)
+    found, verb = m[1], m[2].upper()
+    for item in [i.strip().rstrip(";") for i in re.split(r",(?![^{}]*\})", m[3])]:
+        var = re.match(r"\w+", item)[0]
+        rows = Cypher(graph).run(f"{found} RETURN id({var}) AS id").distinct()
+        graph = _changed(graph, verb, item, rows)
+    return graph
+
+
+def _created(graph: Graph, text: str) -> Graph:
+    p, known = _Parser(text), {}
+    nodes, edges = [], []
+    while p.at < len(p.tokens):
+        parts = p.pattern()
+        for part in parts[::2]:
+            if part.name not in known:
+                known[part.name] = f"new:{part.name}:{'.'.join(part.labels)}:{sorted(part.properties.items())}"
+                nodes.append((known[part.name], part.labels, {k: str(v) for k, v in part.properties.items()}))
+        for i, part in enumerate(parts[1::2]):
+            a, b = known[parts[2 * i].name], known[parts[2 * i + 2].name]
+            a, b = (b, a) if part.way == "<" else (a, b)
+            edges.append((f"{a}-{'.'.join(part.labels)}-{b}", a, b, part.labels, {k: str(v) for k, v in part.properties.items()}))
+        p.take(",")
+    return graph.create(nodes, edges)
+
+
+def _changed(graph: Graph, verb: str, item: str, rows: DataFrame) -> Graph:
+    if verb.endswith("DELETE"):
+        return graph.delete(rows)
+    hit = graph.nodes.join(rows.select(F.col("id").alias("h_")), F.col("id") == F.col("h_"), "left")
+    on, props, labels = F.col("h_").isNotNull(), F.col("properties"), F.col("labels")
+    if prop := re.fullmatch(r"\w+\.(\w+)(?:\s*=\s*(.*))?", item, re.S):
+        rest = F.map_filter("properties", lambda k, v: k != prop[1])
+        if verb == "SET":
+            value = _Parser(prop[2]).literal()
+            props = F.when(on, rest if value is None else F.map_concat(rest, F.create_map(F.lit(prop[1]), F.lit(str(value))))).otherwise(props)
+        else:
+            props = F.when(on, rest).otherwise(props)
+    elif whole := re.fullmatch(r"\w+\s*(\+?=)\s*(\{.*\})", item, re.S):
+        given = {k: str(v) for k, v in _Parser(whole[2]).map().items()}
+        new = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else F.create_map().cast("map<string,string>")
+        kept = F.map_filter("properties", lambda k, v: ~k.isin(list(given)))
+        props = F.when(on, F.map_concat(kept, new) if whole[1] == "+=" else new).otherwise(props)
+    else:
+        named = F.array(*[F.lit(x) for x in re.findall(r":(\w+)", item)])
+        labels = F.when(on, F.array_union("labels", named) if verb == "SET" else F.array_except("labels", named)).otherwise(labels)
+    return Graph(hit.select("id", labels.alias("labels"), props.alias("properties")), graph.edges)
+
+
+def from_documents(df: DataFrame, label: str, key: str, children: dict[str, str]) -> Graph:
+    """Documents as nodes; each nested document of a field (or of an array of them) is a node of its own, with an edge of the
+    field's name. children: field -> label."""
+    plain = [f.name for f in df.schema.fields if f.name not in children and "struct" not in f.dataType.simpleString() and "array" not in f.dataType.simpleString()]
+    nodes, edges = node_rows(df.select(*plain), label, key), None
+    for name, child in children.items():
+        many = df.schema[name].dataType.simpleString().startswith("array")
+        each = df.select(F.col(key).cast("string").alias("_p"), (F.posexplode(name) if many else F.posexplode(F.array(name))).alias("_i", "_c")).filter("_c is not null")
+        fields = each.schema["_c"].dataType.names
+        flat = each.select("_p", F.concat_ws(".", "_p", F.lit(name), F.col("_i").cast("string")).alias("_key"), *[F.col("_c")[f].alias(f) for f in fields])
+        nodes = nodes.unionByName(node_rows(flat.select("_key", *fields), child, "_key").withColumn("properties", F.map_filter("properties", lambda k, v: k != "_key")))
+        link = edge_rows(flat, name, F.concat(F.lit(f"{label}:"), "_p"), F.concat(F.lit(f"{child}:"), "_key"))
+        edges = link if edges is None else edges.unionByName(link)
+    return Graph(nodes, edges)

@@ -187,6 +187,19 @@ def _generate(rows: DataFrame, source: tuple, text: str) -> DataFrame:
 # Resource requests.
 
 
+def rest_filters(query: str) -> Column:
+    """All filters of a request on one resource."""
+    out = F.lit(True)
+    for name, v in parse_qsl(query, keep_blank_values=True):
+        if name.startswith("_"):
+            continue
+        m = re.match(r"(!%|%|<=|>=|!=|=|<|>)(.*)", v, re.S)
+        c = F.col(name)
+        test = (c.like(m[2]) if m[1] == "%" else ~c.like(m[2])) if m[1] in ("%", "!%") else _COMPARE[{"!=": "<>"}.get(m[1], m[1])](c, F.lit(_literal(m[2])))
+        out = out & test
+    return out
+
+
 def rest(request: str, tables: Tables) -> DataFrame:
     """GET a,b?_project=...&_groupby=...&_sort=col@DESC&_limit=n&_offset=n&column=<op>value; several resources are joined by
     the filters. Filter values start with =, !=, <, >, <=, >=, % (like) or !% (not like); & of one column repeats it."""

@@ -226,3 +226,23 @@ def flow_variables(spark, sf_dir):
     v = flow.to_variables(table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("n")))[0]
     v = flow.validate_variables(flow.modify_variables(v, {"name": "nation"}), ["n"])
     return flow.from_variables(spark, {"n": v["n"], "t": flow.template_variable("{name}: {n}", v)})
+
+
+@query("flow_named_activities", "SELECT c_mktsegment, count(c_custkey) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+def flow_named_activities(spark, sf_dir):
+    """A workflow by the names of its activities."""
+    from weft.operators import activities
+
+    return activities.run([
+        ("rich", "relFilter", ["c"], {"items": [("c_acctbal", "GREATER_THAN", 0)]}),
+        ("clean", "docStringClean", ["rich.0"], {"names": ["c_mktsegment"]}),
+        ("n", "relAggregate", ["clean"], {"keys": ["c_mktsegment"], "calls": {"n": ("COUNT", "c_custkey")}}),
+    ], {"c": table(spark, sf_dir, "customer")})["n"]
+
+
+@query("flow_doc_modify", "SELECT n_nationkey, n_name AS label, [n_regionkey] AS n_regionkey, 'x' AS mark FROM nation")
+def flow_doc_modify(spark, sf_dir):
+    from weft.operators.activities import ACTIVITIES
+
+    d = ACTIVITIES["docModify"](table(spark, sf_dir, "nation"), [("move", "n_name", "label"), ("arrWrap", "n_regionkey"), ("setValue", "mark", "x")])
+    return d.select("n_nationkey", "label", "n_regionkey", "mark")

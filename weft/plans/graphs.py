@@ -102,3 +102,21 @@ def model_documents_to_graph(spark, sf_dir):
     d = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.array(F.lit("doc")).alias("labels"), F.from_json(F.to_json(F.struct("*")), "map<string,string>").alias("properties"))
     g = G.Graph(d, star(spark, sf_dir).edges.limit(0))
     return G.run(g, "MATCH (n:doc {n_nationkey: 3}) RETURN n.n_name AS name")
+
+
+@query("cypher_write", "SELECT n_name AS name, CASE WHEN n_regionkey = 1 THEN 'x' END AS mark FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'new', NULL")
+def cypher_write(spark, sf_dir):
+    """CREATE, SET, REMOVE and DELETE as text."""
+    g = star(spark, sf_dir).filter_labels(["Nation"])
+    for text in ("MATCH (n:Nation) WHERE n.n_regionkey = 2 DELETE n", "MATCH (n:Nation {n_regionkey: 1}) SET n.mark = 'x', n:Seen", "MATCH (n:Seen) REMOVE n:Seen", "CREATE (a:Nation {n_name: 'new'})-[:NEAR]->(b:Other)"):
+        g = G.execute(g, text)
+    return G.run(g, "MATCH (n:Nation) RETURN n.n_name AS name, n.mark AS mark")
+
+
+@query("model_nested_to_graph", "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def model_nested_to_graph(spark, sf_dir):
+    """Nested documents become nodes: regions with an array of nations."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    docs = table(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "r_name", "nations")
+    g = G.from_documents(docs, "Region", "r_regionkey", {"nations": "Nation"})
+    return G.run(g, "MATCH (r:Region)-[:nations]->(n:Nation) RETURN r.r_name AS region, count(n) AS n")
