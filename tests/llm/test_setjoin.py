@@ -65,7 +65,7 @@ def test_against_all_pairs(spark):
 
 
 def test_blocks_and_rare_order(spark, monkeypatch):
-    """The same result with tiny blocks, and where every token counts as rare."""
+    """The same result with tiny blocks, with every token rare, and with long lists split."""
     rows = corpus(3, groups=((40, 60, 10),))
     expected = brute(rows)
     monkeypatch.setattr(setjoin, "BLOCK", 7)
@@ -74,6 +74,13 @@ def test_blocks_and_rare_order(spark, monkeypatch):
     assert result(spark, rows) == expected
 
 
+def test_split_lists(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "LIST_MOST", 9)
+    for seed, groups in ((4, ((40, 60, 10), (30, 20, 5))), (5, ((12, 80, 3),))):
+        rows = corpus(seed, groups=groups)
+        assert result(spark, rows) == brute(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE\ttwo"), (5, "ONE\ttwo"), (None, "one two"), (None, None), (7, "É"), (8, "é"), (9, "x " * 3000), (10, "x x x x x x"), (4, "other words")]
     assert result(spark, rows) == brute(rows)

@@ -6,8 +6,9 @@ a text of fewer words is one shingle, a text without words has the empty set and
 The join follows set relations at three levels:
 
 * equal sets are one node from the start, so copies never meet;
-* index lists (token -> sets, over the prefix that a threshold requires, rarest tokens first) are sorted by set size and
-  cut into blocks; blocks whose sizes cannot reach the threshold are skipped, and positions bound what is left;
+* index lists (token -> sets, over the prefix that a threshold requires, rarest tokens first) are cut into blocks by set
+  size; blocks whose sizes cannot reach the threshold are skipped, and positions bound what is left; a list of more than
+  LIST_MOST sets is dealt over several tasks, each of which gets the list's hub too;
 * every list has a hub. Members are verified against the hub alone, which gives their difference to it too. The answers of a
   member are then derived from the hub's: members of one component are skipped, and the overlap of others follows from
   their differences, without their sets. Only pairs that no common hub decides are verified.
@@ -21,6 +22,8 @@ of a component unless all its members' ids are null; repeated rows are members o
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +40,9 @@ NUM, DEN = 75, 100
 HOT_TOKENS = 1 << 21  # entries of the order table
 HOT_LEAST = 8  # sets that share a token before it counts as frequent
 POSTINGS = 1 << 19  # index entries that a task holds before it packs them
+MOST_BITS = 17  # at most so many bits of a token choose its bucket
+LIST_MOST = 1 << 18  # sets in an index list, about; longer lists are split
+MOST_EXTRA = 1 << 15  # buckets for the parts of split lists
 BLOCK = 1024  # sets in a block of an index list
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _U = np.uint64
@@ -141,7 +147,7 @@ def _counted(bits: int):
     return run
 
 
-def _frequent(most: int):
+def _frequent(most: int, least: int):
     def run(batches):
         values, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
         for batch in batches:
@@ -151,7 +157,7 @@ def _frequent(most: int):
                 cs.append(_unpack(c, np.uint16).astype(np.int64))
             values, at = np.unique(np.concatenate(vs), return_inverse=True)
             counts = np.bincount(at, np.concatenate(cs), len(values)).astype(np.int64)
-        keep = np.flatnonzero(counts >= HOT_LEAST)
+        keep = np.flatnonzero(counts >= least)
         if len(keep) > most:
             keep = np.sort(keep[np.argsort(-counts[keep], kind="stable")[:most]])
         if len(keep):
@@ -184,28 +190,61 @@ class _Order:
         return s[np.argsort(df, kind="stable")[:p]]
 
 
-def _posted(order, bits: int):
-    """Packs index entries: for each bucket of tokens the sorted tokens, the set and the position of each, and the sets."""
+class _Split:
+    """Where the lists of tokens go that more than most sets share: each is dealt by set into parts, and the parts into
+    extra buckets after the others."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray, bits: int, most: int, extra: int):
+        long = np.flatnonzero(counts > most)
+        self.values, self.parts = values[long], (counts[long] // most + 1).astype(np.uint64)
+        self.base, self.extra = 1 << bits, extra
+
+    def parts_of(self, tokens: np.ndarray) -> np.ndarray:
+        """Parts of each token's list; 0 of one that isn't split."""
+        if not len(self.values):
+            return np.zeros(len(tokens), np.uint64)
+        top = (tokens >> _U(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.values, top), len(self.values) - 1)
+        return np.where(self.values[at] == top, self.parts[at], _U(0))
+
+    def bucket(self, tokens: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return self.base + ((mixed(tokens) + part) % _U(self.extra)).astype(np.int64)
+
+
+_POSTED = "bucket int, token binary, local binary, pos binary, ids binary, sizes binary"
+
+
+def _packed(bucket, tokens, owner, pos, ids, sizes):
+    """A row for each bucket: its sorted tokens, the set and the position of each, and the sets."""
+    by = np.lexsort((tokens, bucket))
+    bucket, tokens, owner, pos = bucket[by], tokens[by], owner[by], pos[by]
+    edges = [*_starts(bucket).tolist(), len(bucket)]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        own, local = np.unique(owner[a:b], return_inverse=True)
+        out.append((int(bucket[a]), _pack(np.diff(tokens[a:b], prepend=_U(0))), _pack(local.astype(np.uint32)), _pack(np.minimum(pos[a:b], 2**31).astype(np.uint32)), _pack(ids[own]), _pack(sizes[own].astype(np.uint32))))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "token", "local", "pos", "ids", "sizes"])
+
+
+def _posted(order, bits: int, most: int, extra: int, held: int):
+    """Packs the index entries of every set's prefix."""
 
-    def emit(ids, sizes, prefixes):
+    def emit(split, ids, sizes, prefixes):
         lengths = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
         tokens = np.concatenate(prefixes)
         owner = np.repeat(np.arange(len(ids)), lengths)
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        by = np.argsort(tokens, kind="stable")
-        tokens, owner, pos = tokens[by], owner[by], pos[by]
         ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
-        cuts = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << _U(64 - bits)) if bits else np.empty(0, np.int64)
-        edges = [0, *cuts.tolist(), len(tokens)]
-        out = []
-        for i, (a, b) in enumerate(zip(edges, edges[1:])):
-            if b > a:
-                own, local = np.unique(owner[a:b], return_inverse=True)
-                out.append((i, _pack(np.diff(tokens[a:b], prepend=_U(0))), _pack(local.astype(np.uint32)), _pack(np.minimum(pos[a:b], 2**31).astype(np.uint32)), _pack(ids[own]), _pack(sizes[own].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "token", "local", "pos", "ids", "sizes"])
+        bucket = (tokens >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+        parts = split.parts_of(tokens)
+        long = np.flatnonzero(parts)
+        if len(long):
+            bucket[long] = split.bucket(tokens[long], mixed(ids[owner[long]].view(np.uint64)) % parts[long])
+        return _packed(bucket, tokens, owner, pos, ids, sizes)
 
     def run(batches):
         table = _Order(*order.value) if len(order.value[0]) else None
+        split = _Split(*order.value, bits, most, extra)
         ids, sizes, prefixes, n = [], [], [], 0
         for k, s in _sets(batches, set()):
             p = table.prefix(s) if table else s[: prefix_length(len(s))]
@@ -213,11 +252,44 @@ def _posted(order, bits: int):
             sizes.append(len(s))
             prefixes.append(p)
             n += len(p)
-            if n >= POSTINGS:
-                yield emit(ids, sizes, prefixes)
+            if n >= held:
+                yield emit(split, ids, sizes, prefixes)
                 ids, sizes, prefixes, n = [], [], [], 0
         if ids:
-            yield emit(ids, sizes, prefixes)
+            yield emit(split, ids, sizes, prefixes)
+
+    return run
+
+
+def _first_entries(batches):
+    """The entry of the least set for each token of this partition's rows."""
+    for batch in batches:
+        rows = []
+        for t, l, p, i, z in zip(*(batch.column(c).to_pylist() for c in ("token", "local", "pos", "ids", "sizes"))):
+            token, local = np.cumsum(_unpack(t, np.uint64), dtype=np.uint64), _unpack(l, np.uint32)
+            rows.append((token, _unpack(i, np.int64)[local], _unpack(z, np.uint32)[local].astype(np.int64), _unpack(p, np.uint32).astype(np.int64)))
+        if rows:
+            token, sid, size, pos = (np.concatenate(x) for x in zip(*rows))
+            by = np.lexsort((sid, token))
+            by = by[_starts(token[by])]
+            yield pa.RecordBatch.from_arrays([pa.array(token[by].view(np.int64)), pa.array(sid[by]), pa.array(size[by]), pa.array(pos[by])], ["token", "sid", "size", "pos"])
+
+
+def _hub_entries(order, bits: int, most: int, extra: int):
+    """Posts the hub of a split list to all of its parts."""
+
+    def run(batches):
+        split = _Split(*order.value, bits, most, extra)
+        for batch in batches:
+            token, sid, size, pos = (np.asarray(batch.column(c)) for c in ("token", "sid", "size", "pos"))
+            if not len(token):
+                continue
+            token = token.view(np.uint64)
+            parts = split.parts_of(token).astype(np.int64)
+            each = np.repeat(np.arange(len(token)), parts)
+            part = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
+            bucket = split.bucket(token[each], part.astype(np.uint64))
+            yield _packed(bucket, token[each], each, pos[each], sid.astype(np.int64), size.astype(np.int64))
 
     return run
 
@@ -269,30 +341,48 @@ def _hub_pairs(batches):
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _open_lists(batches):
+def _open_lists(base: int):
     """Lists of three sets and more, a row for each set but the hub. Lists of equal sets, all of which may link with the
-    hub, come once a partition, without positions."""
-    got = _lists(batches)
-    if got is None or not len(got[0]):
-        return
-    token, sid, size, pos = got
-    start = _starts(token)
-    hub = np.repeat(start, np.diff(np.r_[start, len(token)]))
-    fits = _possible(size[hub], pos[hub], size, pos)
-    seen, rows = set(), []
-    for a, b in zip(start.tolist(), np.r_[start[1:], len(token)].tolist()):
-        if b - a < 3:
-            continue
-        members, places = sid[a:b], pos[a + 1 : b]
-        if fits[a + 1 : b].all():
-            places = np.zeros(b - a - 1, np.int64)
-        key = xxhash.xxh64_intdigest(members.tobytes() + places.tobytes())
-        if key in seen:
-            continue
-        seen.add(key)
-        rows.append((np.full(b - a - 1, signed(key)), np.full(b - a - 1, members[0]), members[1:], size[a + 1 : b], places))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["list", "hub", "set_id", "n", "pos"])
+    hub, come once a partition, without positions. The parts of a split list (in buckets from base on) keep one name."""
+
+    def run(batches):
+        bucket, batches = _peeked(batches)
+        got = _lists(batches)
+        if got is None or not len(got[0]):
+            return
+        token, sid, size, pos = got
+        start = _starts(token)
+        hub = np.repeat(start, np.diff(np.r_[start, len(token)]))
+        fits = _possible(size[hub], pos[hub], size, pos)
+        split = bucket >= base
+        seen, rows = set(), []
+        for a, b in zip(start.tolist(), np.r_[start[1:], len(token)].tolist()):
+            if b - a < (2 if split else 3):
+                continue
+            members, places = sid[a:b], pos[a + 1 : b]
+            if split:
+                key = int(token[a])
+            else:
+                if fits[a + 1 : b].all():
+                    places = np.zeros(b - a - 1, np.int64)
+                key = xxhash.xxh64_intdigest(members.tobytes() + places.tobytes())
+                if key in seen:
+                    continue
+                seen.add(key)
+            rows.append((np.full(b - a - 1, signed(key)), np.full(b - a - 1, members[0]), members[1:], size[a + 1 : b], places))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["list", "hub", "set_id", "n", "pos"])
+
+    return run
+
+
+def _peeked(batches):
+    """The bucket of a partition, and its batches."""
+    batches = iter(batches)
+    for first in batches:
+        if first.num_rows:
+            return first.column("bucket")[0].as_py(), itertools.chain([first], batches)
+    return -1, iter(())
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -462,9 +552,9 @@ def _within_hubs(hubs: DataFrame, comps: DataFrame) -> DataFrame:
     return _blocks(rows, "hub", "m").select(*names).mapInArrow(_by_group(_derived, names, 3), "a long, b long")
 
 
-def _beside_hubs(postings: DataFrame, buckets: int, comps: DataFrame, hubs: DataFrame) -> DataFrame:
+def _beside_hubs(postings: DataFrame, buckets: int, base: int, comps: DataFrame, hubs: DataFrame) -> DataFrame:
     """Pairs of different components that lists hold and no common hub decides."""
-    rows = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(_open_lists, "list long, hub long, set_id long, n long, pos long").dropDuplicates(["list", "set_id"])
+    rows = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(_open_lists(base), "list long, hub long, set_id long, n long, pos long").dropDuplicates(["list", "set_id"])
     known = hubs.filter("r is not null").select(F.col("a").alias("hub"), F.col("b").alias("set_id"), F.lit(True).alias("known"))
     rows = _with_component(rows.join(known, ["hub", "set_id"], "left").select("list", "set_id", "n", "pos", F.coalesce("known", F.lit(False)).alias("known")), comps)
     mixed_rows = _mixed_groups(rows, "list", ~F.col("known"))
@@ -494,16 +584,22 @@ def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | No
     """(node, component) of the sets that are linked with another."""
     if not total:
         return None
-    bits = max(parallelism(spark) - 1, total // (4 * POSTINGS)).bit_length()
+    bits = min(MOST_BITS, max(parallelism(spark) - 1, total // (4 * POSTINGS)).bit_length())
     text = docs.select("text")
     counted = text.mapInArrow(_counted(bits), "bucket int, v binary, c binary").repartitionById(1 << bits, F.col("bucket"))
-    got = counted.mapInArrow(_frequent(max(1, HOT_TOKENS >> bits)), "v binary, c binary").collect()
+    got = counted.mapInArrow(_frequent(max(1, HOT_TOKENS >> bits), HOT_LEAST), "v binary, c binary").collect()
     values, counts = np.concatenate([np.frombuffer(r.v, np.uint32) for r in got] or [np.empty(0, np.uint32)]), np.concatenate([np.frombuffer(r.c, np.uint32) for r in got] or [np.empty(0, np.uint32)])
     by = np.argsort(values)
     order = spark.sparkContext.broadcast((values[by], counts[by]))
-    postings = checkpoint(text.mapInArrow(_posted(order, bits), "bucket int, token binary, local binary, pos binary, ids binary, sizes binary"))
+    base, extra = 1 << bits, min(MOST_EXTRA, int((counts[counts > LIST_MOST].astype(np.int64) // LIST_MOST + 1).sum()))
+    postings = checkpoint(text.mapInArrow(_posted(order, bits, LIST_MOST, max(1, extra), POSTINGS), _POSTED))
+    if extra:
+        firsts = postings.filter(F.col("bucket") >= base).mapInArrow(_first_entries, "token long, sid long, size long, pos long")
+        hub_of = firsts.groupBy("token").agg(F.min(F.struct("sid", "size", "pos")).alias("x")).select("token", "x.sid", "x.size", "x.pos")
+        postings = postings.union(checkpoint(hub_of.mapInArrow(_hub_entries(order, bits, LIST_MOST, extra), _POSTED)))
+    buckets = base + extra
     reps = ids.filter("n > 0").groupBy("set_id").agg(F.min("th").alias("th"))
-    pairs = checkpoint(postings.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_hub_pairs, "a long, b long").distinct())
+    pairs = checkpoint(postings.repartitionById(buckets, F.col("bucket")).mapInArrow(_hub_pairs, "a long, b long").distinct())
     if pairs.isEmpty():
         return None
     is_link = F.expr(f"{DEN} * o >= {NUM} * (na + nb - o)")
@@ -514,7 +610,7 @@ def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | No
     if not derived.isEmpty():
         links = links.union(derived)
         comps = components(links, "a", "b")
-    rest = checkpoint(_beside_hubs(postings, 1 << bits, comps, hubs))
+    rest = checkpoint(_beside_hubs(postings, buckets, base, comps, hubs))
     if rest.isEmpty():
         return comps
     more = checkpoint(_verified(docs, reps, rest).filter(is_link).select("a", "b"))
