@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as tokenizers
 
-from . import bpe, chat, decontaminate, lzprint, quality, setjoin, sharding, substring, tokencount, urlfilter
+from . import bpe, chat, decontaminate, lzprint, oracle, quality, setjoin, sharding, substring, tokencount, urlfilter
 from .common import table
 
 
@@ -68,5 +68,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_url_filters": oracle.URL_FILTERS,
+        "op6_ngram_jaccard_join": oracle.NGRAM_JACCARD,
+        "op9_benchmark_decontamination": oracle.DECONTAMINATION,
         "op10_chat_formatting": chat.ORACLE,
     }
