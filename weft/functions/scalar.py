@@ -285,6 +285,15 @@ def json_query(doc, path: str, wrapper: bool = False) -> Column:
     return F.when(got.isNotNull(), F.concat(F.lit("["), got, F.lit("]"))) if wrapper else got
 
 
+def json_object(absent_on_null: bool = False, **values) -> Column:
+    return F.to_json(F.struct(*[col(v).alias(k) for k, v in values.items()]), {"ignoreNullFields": str(absent_on_null).lower()})
+
+
+def json_array(*values, absent_on_null: bool = True) -> Column:
+    out = F.array(*map(col, values))
+    return F.to_json(F.filter(out, lambda x: x.isNotNull()) if absent_on_null else out)
+
+
 def json_kind(doc) -> Column:
     """OBJECT, ARRAY or SCALAR; null if it isn't JSON."""
     v = F.try_parse_json(col(doc))

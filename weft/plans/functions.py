@@ -241,3 +241,41 @@ def knn_top(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id = 0").agg(F.first("embedding").alias("q"))
     return e.join(F.broadcast(q)).select("vec_id", S.distance("embedding", "q", "L2").alias("d")).orderBy("d", "vec_id").limit(10).select("vec_id", _r(col("d"), 4).alias("d"))
+
+
+@query("fn_json_build", """SELECT n_nationkey, '{"k":' || n_nationkey || ',"r":' || coalesce(CAST(nullif(n_regionkey, 2) AS VARCHAR), 'null') || '}' AS o, '{"k":' || n_nationkey || coalesce(',"r":' || nullif(n_regionkey, 2), '') || '}' AS oa,
+'[' || n_nationkey || coalesce(',' || nullif(n_regionkey, 2), '') || ']' AS a FROM nation""")
+def fn_json_build(spark, sf_dir):
+    r = F.nullif(col("n_regionkey"), lit(2))
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.json_object(k="n_nationkey", r=r).alias("o"), S.json_object(True, k="n_nationkey", r=r).alias("oa"), S.json_array("n_nationkey", r).alias("a"))
+
+
+@query("udf_scalar", "SELECT p_partkey, p_size * 2 + 1 AS v FROM part")
+def udf_scalar(spark, sf_dir):
+    from weft.functions.user import scalar
+
+    def twice(x):
+        return x * 2 + 1
+
+    import pandas as pd
+
+    twice.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    scalar(spark, "weft_twice", twice, "bigint")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "weft_twice(p_size) AS v")
+
+
+@query("udf_aggregate", "SELECT o_custkey, max(o_orderkey) - min(o_orderkey) AS v FROM orders GROUP BY o_custkey")
+def udf_aggregate(spark, sf_dir):
+    from weft.functions.user import aggregate
+
+    aggregate(spark, "weft_range", lambda x: int(x.max() - x.min()), "bigint")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.expr("weft_range(o_orderkey)").alias("v"))
+
+
+@query("udf_table", "SELECT n_nationkey, unnest(range(n_regionkey)) AS i FROM nation")
+def udf_table(spark, sf_dir):
+    from weft.functions.user import table_function
+
+    table_function(spark, "weft_count_to", lambda n: ((i,) for i in range(n)), "i int")
+    table(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    return spark.sql("SELECT n_nationkey, t.i FROM nation, LATERAL weft_count_to(n_regionkey) AS t")

@@ -215,7 +215,7 @@ sql("win_top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o
 sql("sort_nulls", "SELECT k, row_number() OVER (ORDER BY k DESC NULLS FIRST, id) AS a, row_number() OVER (ORDER BY k ASC NULLS LAST, id) AS b FROM (SELECT n_nationkey AS id, nullif(n_regionkey, 2) AS k FROM nation) AS x")
 sql("sort_limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 sql("sort_top_k", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
-_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0"
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 8000"
 for _name, _op in {"union": "UNION", "union_all": "UNION ALL", "intersect": "INTERSECT", "intersect_all": "INTERSECT ALL", "except": "EXCEPT", "except_all": "EXCEPT ALL"}.items():
     sql(f"set_{_name}", f"{_A} {_op} {_B}")
 
