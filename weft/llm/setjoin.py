@@ -605,18 +605,36 @@ def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | No
     is_link = F.expr(f"{DEN} * o >= {NUM} * (na + nb - o)")
     hubs = checkpoint(_verified(docs, reps, pairs))
     links = hubs.filter(is_link).select("a", "b")
-    comps = components(links, "a", "b")
-    derived = checkpoint(_within_hubs(hubs, comps))
-    if not derived.isEmpty():
-        links = links.union(derived)
-        comps = components(links, "a", "b")
-    rest = checkpoint(_beside_hubs(postings, buckets, base, comps, hubs))
-    if rest.isEmpty():
-        return comps
-    more = checkpoint(_verified(docs, reps, rest).filter(is_link).select("a", "b"))
-    if more.isEmpty():
-        return comps
-    return components(links.union(more), "a", "b")
+    labels = _labels(links)
+    derived = checkpoint(_within_hubs(hubs, labels))
+    rest = checkpoint(_beside_hubs(postings, buckets, base, labels, hubs))
+    links = links.union(derived)
+    if not rest.isEmpty():
+        links = links.union(_verified(docs, reps, rest).filter(is_link).select("a", "b"))
+    return _merged(labels, links)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, component) of linked members: a set that each is connected with, the least hub of the least hub of its least
+    hub. Hubs are less than their members, so this goes down; two members of one component may still have two labels."""
+    up = checkpoint(links.groupBy("b").agg(F.min("a").alias("a")))
+    to = up.select(F.col("b").alias("hub"), F.col("a").alias("over"))
+    for _ in range(2):
+        up = up.join(to, F.col("a") == F.col("hub"), "left").select("b", F.coalesce("over", "a").alias("a"))
+    return checkpoint(up.select(F.col("b").alias("node"), F.col("a").alias("component")))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of the links, from the labels and what joins these."""
+    of_a, of_b = labels.toDF("node_a", "label_a"), labels.toDF("node_b", "label_b")
+    ends = links.join(of_a, F.col("a") == F.col("node_a"), "left").join(of_b, F.col("b") == F.col("node_b"), "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    between = checkpoint(ends.filter("a <> b").distinct())
+    if between.isEmpty():
+        return labels
+    comps = checkpoint(components(between, "a", "b"))
+    to = comps.select(F.col("node").alias("label"), F.col("component").alias("over"))
+    moved = labels.join(to, F.col("component") == F.col("label"), "left").select("node", F.coalesce("over", "component").alias("component"))
+    return moved.unionByName(comps.join(labels, "node", "left_anti"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
