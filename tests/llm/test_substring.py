@@ -131,3 +131,71 @@ def test_blocks_of_long_texts(monkeypatch):
     for t, (a, b, h) in zip(texts, whole):
         x, y, g = words_at(t)
         assert x.tolist() == a.tolist() and y.tolist() == b.tolist() and g.tolist() == h.tolist()
+
+
+def hosted(r, words, kind):
+    """The words in the middle of others, in sentences of 3 to 40 words (kind 0), lines of these (1) or none (2)."""
+    out = []
+    for _ in range(2):
+        w = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(r.randint(30, 90))]
+        at = 0
+        while kind < 2 and at + 1 < len(w):
+            at = min(len(w) - 1, at + r.randint(3, 40))
+            w[at - 1] += "." if kind == 0 else "\n"
+        out.append(" ".join(w))
+    return f"{out[0]} {' '.join(words)} {out[1]}"
+
+
+def removed(first, second):
+    """Words that the second text loses, given the first."""
+    a, b = substring.Sentences(first.encode()), substring.Sentences(second.encode())
+    have = {*a.runs().tolist(), *a.spans()[1].tolist()}
+    starts = [i for i, h in enumerate(b.runs().tolist()) if h in have] + [-1 - i for i, h in zip(*map(list, b.spans())) if int(h) in have]
+    kept, gone = b.without(starts)
+    return len(second.split()) - len(kept.split()) if gone else 0
+
+
+def test_every_passage_of_51_words_is_found():
+    r = random.Random(7)
+    for k in range(1500):
+        words = hosted(r, [], k % 3).split(" ")
+        at = r.randrange(len(words) - 51)
+        words = words[at : at + 51]
+        a, b = hosted(r, words, r.randrange(3)), hosted(r, words, r.randrange(3))
+        assert 14 <= removed(a, b) <= 51, (a, b)
+        if k % 3 == 2:
+            assert removed(hosted(r, words, 2), hosted(r, words, 2)) >= 25
+    for words in (["la"] * 51, ["la", "di"] * 26, ["x"] * 20 + ["y"] * 31):
+        assert removed(hosted(r, words, 2), hosted(r, words, 2)) >= 25
+
+
+def test_short_ends_of_a_passage_count():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    for _ in range(50):
+        w = [word() for _ in range(51)]
+        w[14], w[24], w[34] = w[14] + ".", w[24] + ".", w[34] + "."
+        alone, within = f"Yes. {' '.join(w)}. Yes.", f"{' '.join(word() for _ in range(20))} {' '.join(w)} {' '.join(word() for _ in range(20))}"
+        assert removed(within, alone) >= 20 and removed(alone, within) >= 20
+
+
+def test_spans_of_words_that_repeat_are_few():
+    at, h = substring.Sentences(b"la " * 5000).spans()
+    assert len(at) < 1000 and len(set(h.tolist())) == 1 and max(at[1:] - at[:-1]) <= substring.SPAN_WORDS
+
+
+def test_passages_in_mid_sentence_go(spark):
+    r = random.Random(9)
+    words = [["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(51)] for _ in range(60)]
+    rows = [(2 * i + j, hosted(r, w, 2)) for i, w in enumerate(words) for j in (0, 1)]
+    got = {x.doc_id: x for x in cut(spark, rows)}
+    assert all(got[d].text == t if d % 2 == 0 else len(t.split()) - len(got[d].text.split()) >= 25 for d, t in rows)
+
+
+def test_rows_that_share_an_id_are_documents(spark):
+    r = random.Random(10)
+    words, other = [["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)] for _ in range(2)]
+    for d in (1, None):
+        rows = [(d, hosted(r, words, 2)) for _ in range(3)] + [(7, hosted(r, other, 2)), (8, hosted(r, other, 2))]
+        got = cut(spark, rows)
+        assert sum(x.n_removed > 0 for x in got if x.doc_id == d) == 2 and [x.n_removed > 0 for x in sorted(got, key=lambda x: x.doc_id or 0) if x.doc_id in (7, 8)] == [False, True]
