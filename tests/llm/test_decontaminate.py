@@ -76,3 +76,9 @@ def test_remove(spark):
     docs = spark.createDataFrame([(1, f"Before {item} after", 1), (2, "clean text", 2), (3, "one two", 3), (None, None, 4)], "doc_id long, text string, gone int")
     kept = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, item), (2, "two")], "item_id long, text string"))
     assert sorted(r["gone"] for r in kept.collect()) == [2, 3, 4] and kept.columns == docs.columns
+
+
+def test_hits_of_one_short_item_do_not_condemn(spark):
+    docs = spark.createDataFrame([(1, "red fox " + "then red fox " * 7), (2, "so on " * 20 + "one two three four five six seven eight")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "red fox"), (2, "one two three four five six seven eight")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()] == [1]

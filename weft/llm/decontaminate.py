@@ -73,6 +73,11 @@ def _anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs(doc_id, text) against
     benchmark(item_id, text)."""
+    return _contained(docs, benchmark, window).drop("whole")
+
+
+def _contained(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The columns of contained, and whole: whether a window of that many words is there."""
     spark = docs.sparkSession
     words = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
     windows = checkpoint(windows_of(benchmark, "item_id", "text", window))
@@ -100,6 +105,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         F.sum(F.when(F.col("i") < 0, 1).otherwise(0)).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", (F.col("at") + F.col("len")).alias("to"))))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.coalesce(F.max(F.col("len") >= window), F.lit(False)).alias("whole"),
     )
     hit = F.aggregate(
         "spans",
@@ -109,7 +115,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     )
     return grouped.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"), "whole",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
 
@@ -119,5 +125,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns. Hits on short items alone, which chance can make, don't condemn a document unless there are two. Rows that
     share an id (or have none) share its fate."""
     name = free_name(docs, "gone")
-    gone = contained(docs, benchmark).filter(F.col("contaminated") | (F.col("n_hit") >= WINDOW)).select(F.col("doc_id").alias(name)).distinct()
+    gone = _contained(docs, benchmark, WINDOW).filter(F.col("contaminated") | F.col("whole")).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
