@@ -97,6 +97,12 @@ def test_keep_one(spark):
     assert setjoin.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_where_rows_share_an_id(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "wv")
+    rows = [(1, other, 1), (1, other, 2), (2, text, 3), (3, text + " more", 4), (3, "a text of its own", 5), (4, other + " more", 6), (4, other + " more", 7), (5, text + " less", 8), (5, text, 9)]
+    assert sorted(r["gone"] for r in setjoin.keep_one(spark.createDataFrame(rows, "doc_id long, text string, gone int")).collect()) == [1, 3, 5]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (None, 3)]
     got = {(r.node, r.component) for r in components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}

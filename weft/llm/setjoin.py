@@ -562,14 +562,19 @@ def _beside_hubs(postings: DataFrame, buckets: int, base: int, comps: DataFrame,
     return _blocks(mixed_rows, "list", "m").select(*names).mapInArrow(_by_group(_undecided, names, 3), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text); see the module's text."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, th, set_id, n) of every row of docs(doc_id, text), th the hash of its text, and the links of its sets."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     bounded_batches(spark)
     ids = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_identify, "doc_id long, th long, set_id long, n long"))
     total = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    links = _links(spark, docs, ids, total)
+    return ids, _links(spark, docs, ids, total)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs(doc_id, text); see the module's text."""
+    ids, links = _grouped(docs)
     least = ids.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     if links is None:
         nodes = least.select("set_id", F.col("least").alias("component_id"))
@@ -638,8 +643,20 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that no linked row with a smaller doc_id stands for. Rows without an id stay; of rows that share
-    the smallest id, all stay."""
-    gone = free_name(docs, "gone")
-    ids = jaccard_components(docs).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
+    """Of the rows of docs with an id, one of each component, and all without shingles. That of the least doc_id stays, of its
+    texts the one of the least hash, of rows equal in both the least by their columns. Rows without an id stay."""
+    ids, links = _grouped(docs)
+    copies = checkpoint(ids.filter("n > 0 and doc_id is not null").groupBy("doc_id", "th", "set_id").agg(F.count(F.lit(1)).alias("n")))
+    best = copies.groupBy("set_id").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    if links is not None:
+        best = best.join(links, best.set_id == links.node, "left").groupBy(F.coalesce("component", "set_id")).agg(F.min("x").alias("x"))
+    best = checkpoint(best.select("x.doc_id", "x.th"))
+    id_, th_ = free_name(docs, "id_"), free_name(docs, "th_")
+    named = lambda rows: rows.select(F.col("doc_id").alias(id_), F.col("th").alias(th_))
+    same = (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(th_))
+    kept = docs.join(named(copies.join(best, ["doc_id", "th"], "left_anti")), same, "left_anti")
+    several = checkpoint(named(copies.filter("n > 1").join(best, ["doc_id", "th"], "left_semi")))
+    if several.isEmpty():
+        return kept
+    one = docs.join(several, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias(id_)).select(f"{id_}.*")
+    return kept.join(several, same, "left_anti").unionByName(one)
