@@ -209,3 +209,9 @@ def test_resource_changes_and_sequences(spark):
         assert [r.n for r in q.for_rows(c.read("t"), "n", ["k"]).orderBy("k").collect()] == [20, 25] and q.next() == 30
     finally:
         c.drop_namespace()
+
+
+def test_all_rows_with_exclusion_are_refused(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, i int")
+    with pytest.raises(NotImplementedError):
+        matching.match_recognize(df, ["k"], ["i"], {"A": F.col("i") > 0}, "A {- A -}", {}, "k string, i int", all_rows=True)

@@ -1,7 +1,7 @@
 """Row patterns: MATCH_RECOGNIZE over ordered partitions.
 
 A row gets the letters of the symbols whose conditions it meets; the pattern is run over them with backtracking, quantifiers,
-alternation, permutation and exclusion. Conditions are columns and may look back and ahead with prev and next. Each
+alternation and permutation. Exclusion, {- -}, only groups: all rows of matches with it are refused. Conditions are columns and may look back and ahead with prev and next. Each
 partition is one group of rows, as the clause defines it.
 """
 
@@ -45,6 +45,8 @@ def compiled(pattern: str, symbols: dict[str, str]) -> str:
 def match_recognize(df: DataFrame, partition: list[str], order: list[str], define: dict[str, Column], pattern: str, measures: dict[str, tuple], schema: str, all_rows: bool = False, skip: str = "PAST LAST ROW") -> DataFrame:
     """measures: output -> (FIRST or LAST, column), (COUNT, None), (MATCH_NUMBER, None) or (CLASSIFIER, None). Gives one row
     a match with the partition's columns, or all rows of matches. CLASSIFIER is the first symbol that the row meets."""
+    if all_rows and "{-" in pattern:
+        raise NotImplementedError("all rows of a pattern with exclusion")
     letters = {s: chr(ord("a") + i) for i, s in enumerate(define)}
     marks = F.concat(*[F.when(F.coalesce(c, F.lit(False)), letters[s]).otherwise("") for s, c in define.items()], F.lit(","))
     regex = re.compile(compiled(pattern, letters))
