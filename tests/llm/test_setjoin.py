@@ -107,3 +107,17 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (None, 3)]
     got = {(r.node, r.component) for r in components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
     assert got == {(i, 0) for i in range(41)} | {(90, 90), (100, 90)}
+
+
+def test_words_that_sums_modulo_a_power_of_two_confuse(spark):
+    """A Thue-Morse word and its complement agree in every polynomial sum modulo 2**64 with an odd base."""
+    a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(2048)) for k in (0, 1))
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, a.upper()), (6, f"{a} y"), (7, a * 200), (8, b * 200)]
+    assert result(spark, rows) == brute(rows)
+
+
+def test_mixed_groups_of_many_blocks(spark, monkeypatch):
+    """Groups with one large component, several middling ones and single sets, dealt over many blocks."""
+    monkeypatch.setattr(setjoin, "BLOCK", 3)
+    rows = corpus(8, groups=((40, 50, 2), (40, 20, 14), (24, 30, 9)), alone=10)
+    assert result(spark, rows) == brute(rows)

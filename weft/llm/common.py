@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +12,35 @@ from pyspark.sql import functions as F
 
 from weft.sources.catalog import table
 
-__all__ = ["table", "checkpoint", "bounded_batches", "text_bytes", "mixed", "word_hashes", "signed", "free_name", "bounds_of", "bucket_of", "parallelism"]
+__all__ = ["table", "checkpoint", "bounded_batches", "text_bytes", "mixed", "word_hashes", "signed", "free_name", "bounds_of", "bucket_of", "parallelism", "lookup"]
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder the cluster names; a temporary one only where none is set."""
+    """Cuts the lineage in the folder the cluster names; where none is set, in the warehouse, which executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 
+HEAVY = 4096
+
+
+def lookup(rows: DataFrame, side: DataFrame, key: str, count: str, by: Column) -> DataFrame:
+    """rows with the other columns of side(key, count, longs ...) that belong to their key, null where side lacks it. side
+    has one row for each key and the number of rows with it. Keys with more than 1 / HEAVY of all rows, so HEAVY at most, are
+    broadcast, and their rows are dealt by the column by; all others are joined by shuffling."""
+    names = [c for c in side.columns if c not in (key, count)]
+    held = checkpoint(side.select(F.col(key).alias("k_"), F.col(count).alias("m_"), F.struct(*names).alias("v_"), F.lit(0).alias("s_")))
+    total = held.agg(F.sum("m_")).first()[0] or 0
+    hot = held.filter(F.col("m_") * HEAVY > total).select(F.col("k_").alias("hot_"), F.col("v_").alias("h_"))
+    salt = F.when(F.col("h_").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(1 << 20)).cast("int") + 1)
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left").withColumn("salt_", salt)
+    cold = held.filter(F.col("m_") * HEAVY <= total).select("k_", "v_", "s_")
+    joined = marked.join(cold, (F.col(key) == F.col("k_")) & (F.col("salt_") == F.col("s_")), "left")
+    return joined.select(*rows.columns, *[F.coalesce(F.col("h_")[c], F.col("v_")[c]).alias(c) for c in names])
+
+
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
@@ -65,6 +82,7 @@ _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, np.ui
 for _c in range(65, 91):
     _BYTE[_c] = _BYTE[_c + 32]  # A-Z count as a-z
 _BLOCK = 1 << 18
+_LONG = 64  # bytes; sums modulo 2**64 of much longer words could be made to agree
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -95,8 +113,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
 
 
 def words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of each word between ASCII white space: hashes are differences of one running polynomial sum,
-    A-Z count as a-z. Long texts go in blocks, so the sums stay small in memory."""
+    """Start, end and hash of each word between ASCII white space: hashes are differences of one running polynomial sum, of
+    words beyond _LONG bytes xxh64; A-Z count as a-z. Long texts go in blocks, so the sums stay small in memory."""
     if len(raw) <= _BLOCK:
         return _block_words(np.frombuffer(raw, np.uint8))
     parts, at = [], 0
@@ -133,14 +151,20 @@ def _block_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum(_BYTE[b] * powers(True, len(b)), out=sums[1:])
     start, end = edge[::2], edge[1::2]
-    return start, end, mixed((sums[end] - sums[start]) * powers(False, len(b) + 1)[start] + (end - start).astype(np.uint64))
+    hashes = mixed((sums[end] - sums[start]) * powers(False, len(b) + 1)[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > _LONG).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(b[start[i] : end[i]].tobytes().lower())
+    return start, end, hashes
 
 
-def bounds_of(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n - 1 ascending cut points that deal a whole-number key into about equal parts; a hot key repeats."""
+def bounds_of(df: DataFrame, key: str, n: int, rows: int = 0) -> list[int]:
+    """At most n - 1 ascending cut points that deal a whole-number key into about equal parts; a hot key repeats. Where the
+    number of rows is given, the points come from some 1000 n of them: they only deal the work, never decide a result."""
     if n < 2:
         return []
     at = [i / n for i in range(1, n)]
+    if rows > 2000 * n:
+        df = df.sample(1000 * n / rows, seed=1)
     cuts = df.agg(F.percentile_approx(F.col(key), F.array(*[F.lit(x) for x in at]), F.lit(max(10_000, 20 * n))).alias("b")).first()["b"]
     return [int(x) for x in cuts or []]
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom
-from .common import bounded_batches, checkpoint, free_name, mixed, parallelism, signed, text_bytes, word_hashes
+from .common import bounded_batches, checkpoint, free_name, lookup, mixed, parallelism, signed, text_bytes, word_hashes
 from .components import components
 
 WORDS = 5
@@ -40,7 +40,7 @@ NUM, DEN = 75, 100
 HOT_TOKENS = 1 << 21  # entries of the order table
 HOT_LEAST = 8  # sets that share a token before it counts as frequent
 POSTINGS = 1 << 19  # index entries that a task holds before it packs them
-MOST_BITS = 17  # at most so many bits of a token choose its bucket
+MOST_BITS = 20  # at most so many bits of a token choose its bucket
 LIST_MOST = 1 << 18  # sets in an index list, about; longer lists are split
 MOST_EXTRA = 1 << 15  # buckets for the parts of split lists
 BLOCK = 1024  # sets in a block of an index list
@@ -443,17 +443,31 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_measured, "a long, b long, o long, na long, nb long, r binary, x binary")
 
 
-def _blocks(rows: DataFrame, group: str, m: str) -> DataFrame:
-    """Deals each group's rows over block pairs (i, j): blocks hold sets of one octave of sizes, BLOCK of them as a group of
-    m rows needs. Blocks more than an octave apart cannot link and are skipped. side: 0 within a block, 1 first, 2 second."""
+def _blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Deals each group's rows over block pairs (i, j). Blocks hold sets of one octave of sizes, about BLOCK of them, and
+    either of the group's main component or of the others (rest): the main component needs no pairs of its own, so its rows
+    only meet the blocks of the rest. Blocks more than an octave apart cannot link and are skipped. side: 0 within a block,
+    1 first, 2 second."""
     octave = F.floor(F.log2(F.col("n").cast("double"))).cast("long")
-    many = (F.floor(F.col(m) / BLOCK) + 1).cast("int")
-    placed = rows.withColumn("octave", octave).withColumn("many", many).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("many")).cast("int"))
-    own = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', octave * 1000003L + least(part, p), 'j', octave * 1000003L + greatest(part, p), 'side', IF(p = part, 0, IF(part < p, 1, 2))))")
-    up = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', octave * 1000003L + part, 'j', (octave + 1) * 1000003L + p, 'side', 1))")
-    down = F.expr("transform(sequence(0, many - 1), p -> named_struct('i', (octave - 1) * 1000003L + p, 'j', octave * 1000003L + part, 'side', 2))")
-    kept = [c for c in rows.columns if c != m]
-    dealt = placed.select(*kept, F.explode(F.concat(own, up, down)).alias("b_")).select(*kept, "b_.i", "b_.j", F.col("b_.side").cast("int").alias("side"))
+    blocks = lambda m: (F.floor(F.col(m) / BLOCK) + 1).cast("int")
+    main = F.col("comp") == F.col("main")
+    placed = rows.withColumn("octave", octave).withColumn("mains", blocks("main_m")).withColumn("rests", blocks("rest_m"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("set_id"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    name = {"main": "(octave + {0}) * 8589934592L + {1}", "rest": "(octave + {0}) * 8589934592L + 4294967296L + {1}"}
+
+    def pairs(many: str, first: tuple, second: tuple, side: str) -> str:
+        at = lambda kind, over, part: name[kind].format(over, part)
+        return f"transform(sequence(0, {many} - 1), p -> named_struct('i', {at(*first)}, 'j', {at(*second)}, 'side', {side}))"
+
+    steps = (-1, 0, 1)
+    of_main = ", ".join(pairs("rests", ("main", 0, "part"), ("rest", d, "p"), "1") for d in steps)
+    of_rest = ", ".join([
+        *[pairs("mains", ("main", d, "p"), ("rest", 0, "part"), "2") for d in steps],
+        pairs("rests", ("rest", 0, "least(part, p)"), ("rest", 0, "greatest(part, p)"), "IF(p = part, 0, IF(part < p, 1, 2))"),
+        pairs("rests", ("rest", 0, "part"), ("rest", 1, "p"), "1"), pairs("rests", ("rest", -1, "p"), ("rest", 0, "part"), "2"),
+    ])
+    kept = [c for c in rows.columns if c not in ("main", "main_m", "rest_m")]
+    dealt = placed.select(*kept, F.explode(F.expr(f"IF(comp = main, concat({of_main}), concat({of_rest}))")).alias("b_")).select(*kept, "b_.i", "b_.j", F.col("b_.side").cast("int").alias("side"))
     return dealt.repartition(parallelism(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
@@ -537,19 +551,20 @@ def _with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _mixed_groups(rows: DataFrame, group: str, also=None) -> DataFrame:
-    """The rows of groups that hold more than one component, with their number m."""
-    sums = rows.groupBy(group).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.max(F.lit(True) if also is None else also).alias("also"))
-    return rows.join(checkpoint(sums.filter("lo <> hi and also").select(group, "m")), group)  # a side of its own: a hot group's rows can be dealt anew
+    """The rows of groups that hold more than one component, with the component that most have, and how many have it or not."""
+    each = rows.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("n_"), F.max(F.lit(True) if also is None else also).alias("also"))
+    sums = each.groupBy(group).agg(F.max_by("comp", "n_").alias("main"), F.max("n_").alias("main_m"), F.sum("n_").alias("m"), F.count(F.lit(1)).alias("kinds"), F.max("also").alias("also"))
+    return rows.join(checkpoint(sums.filter("kinds > 1 and also").select(group, "main", "main_m", (F.col("m") - F.col("main_m")).alias("rest_m"))), group)  # a side of its own: a hot group's rows can be dealt anew
 
 
 def _within_hubs(hubs: DataFrame, comps: DataFrame) -> DataFrame:
     """Links between components among the members of each hub."""
     members = hubs.filter("r is not null").select(F.col("a").alias("hub"), F.col("b").alias("set_id"), F.col("nb").alias("n"), "r", "x")
     small = _with_component(members.select("hub", "set_id", "n"), comps)
-    kept = _mixed_groups(small, "hub").select(F.col("hub").alias("h_"), F.col("set_id").alias("s_"), "comp", "m")
-    rows = members.join(kept, (members.hub == kept.h_) & (members.set_id == kept.s_)).select("hub", "set_id", "n", "comp", "r", "x", "m")
+    kept = _mixed_groups(small, "hub").select(F.col("hub").alias("h_"), F.col("set_id").alias("s_"), "comp", "main", "main_m", "rest_m")
+    rows = members.join(kept, (members.hub == kept.h_) & (members.set_id == kept.s_)).select("hub", "set_id", "n", "comp", "r", "x", "main", "main_m", "rest_m")
     names = ["hub", "i", "j", "side", "set_id", "n", "comp", "r", "x"]
-    return _blocks(rows, "hub", "m").select(*names).mapInArrow(_by_group(_derived, names, 3), "a long, b long")
+    return _blocks(rows, "hub").select(*names).mapInArrow(_by_group(_derived, names, 3), "a long, b long")
 
 
 def _beside_hubs(postings: DataFrame, buckets: int, base: int, comps: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -559,7 +574,7 @@ def _beside_hubs(postings: DataFrame, buckets: int, base: int, comps: DataFrame,
     rows = _with_component(rows.join(known, ["hub", "set_id"], "left").select("list", "set_id", "n", "pos", F.coalesce("known", F.lit(False)).alias("known")), comps)
     mixed_rows = _mixed_groups(rows, "list", ~F.col("known"))
     names = ["list", "i", "j", "side", "set_id", "n", "pos", "comp", "known"]
-    return _blocks(mixed_rows, "list", "m").select(*names).mapInArrow(_by_group(_undecided, names, 3), "a long, b long").distinct()
+    return _blocks(mixed_rows, "list").select(*names).mapInArrow(_by_group(_undecided, names, 3), "a long, b long").distinct()
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -575,14 +590,14 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text); see the module's text."""
     ids, links = _grouped(docs)
-    least = ids.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    least = ids.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     if links is None:
-        nodes = least.select("set_id", F.col("least").alias("component_id"))
+        nodes = least.select("set_id", "copies", F.col("least").alias("component_id"))
     else:
-        named = least.join(links, least.set_id == links.node, "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-        smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        nodes = named.join(smallest, "component").select("set_id", "component_id")
-    return ids.join(nodes, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        named = checkpoint(least.join(links, least.set_id == links.node, "left").select("set_id", "copies", "least", F.coalesce("component", "set_id").alias("component")))
+        smallest = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+        nodes = lookup(named, smallest, "component", "m", F.col("set_id")).select("set_id", "copies", "component_id")
+    return lookup(ids, nodes, "set_id", "copies", F.struct("doc_id", "th")).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _links(spark, docs: DataFrame, ids: DataFrame, total: int) -> DataFrame | None:
