@@ -199,3 +199,52 @@ def test_rows_that_share_an_id_are_documents(spark):
         rows = [(d, hosted(r, words, 2)) for _ in range(3)] + [(7, hosted(r, other, 2)), (8, hosted(r, other, 2))]
         got = cut(spark, rows)
         assert sum(x.n_removed > 0 for x in got if x.doc_id == d) == 2 and [x.n_removed > 0 for x in sorted(got, key=lambda x: x.doc_id or 0) if x.doc_id in (7, 8)] == [False, True]
+
+
+def test_repeats_within_a_document_go_where_asked(spark):
+    r = random.Random(11)
+    words = lambda n: [r.choice("abcdefghij") + "".join(r.choice("klmno") for _ in range(5)) for _ in range(n)]
+    page, one = " ".join(words(40)) + ".", passage(r, 60)
+    rows = [(1, f"{one} {page} {page} {page}"), (2, one.upper()), (2, one), (3, "a b. c d. " * 3), (4, "alone here."), (4, "alone here.")]
+    got = {(x.doc_id, t): x.text for (_, t), x in zip(sorted(rows), sorted(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), within=True).collect(), key=lambda x: (x.doc_id, -len(x.text)))) if x.doc_id != 2}
+    first = next(v for k, v in got.items() if k[0] == 1)
+    assert first.count(page.split()[20]) == 1 and one in first
+    assert [v for k, v in got.items() if k[0] == 3] == ["a b. c d. " * 3] and [v for k, v in got.items() if k[0] == 4] == ["alone here."]
+
+
+def oracle(rows, least):
+    """Places (doc, sentence) that go, by word tuples instead of hashes and by a plain loop; sentences as short_text has them."""
+    parts = {d: [p.split() for p in t.replace(".", ".\x00").replace("\n", "\x00").split("\x00") if p.split()] for d, t in rows}
+    seen, gone = set(), set()
+    for d in sorted(parts):
+        s = parts[d]
+        for i in range(len(s)):
+            j = i
+            while j < len(s) and (j - i < substring.RUN or sum(map(len, s[i:j])) < substring.RUN_WORDS):
+                j += 1
+            if j - i < substring.RUN or sum(map(len, s[i:j])) < substring.RUN_WORDS:
+                continue
+            key = tuple(w.lower() for p in s[i:j] for w in p)
+            if key in seen:
+                gone |= {(d, k) for k in range(i, j)}
+            seen.add(key)
+    for d, s in parts.items():
+        i = 0
+        while i < len(s):
+            j = i
+            while j < len(s) and (d, j) in gone:
+                j += 1
+            if j > i and sum(map(len, s[i:j])) < least:
+                gone -= {(d, k) for k in range(i, j)}
+            i = max(j, i + 1)
+    return {d: [w for k, p in enumerate(s) if (d, k) not in gone for w in p] for d, s in parts.items()}
+
+
+def test_every_repeated_run_against_plain_words(spark):
+    """Short sentences from a small stock, so runs repeat within and across documents; every one but the first goes."""
+    r = random.Random(12)
+    stock = [" ".join(r.choice("abcdef") for _ in range(r.randint(3, 9))).capitalize() + r.choice([".", "\n"]) for _ in range(40)]
+    rows = [(d, " ".join(r.choice(stock) for _ in range(r.randint(2, 14)))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text.split() for x in substring.remove_repeats(df, within=True, least_words=0).collect()}
+    assert got == oracle(rows, 0)

@@ -17,7 +17,7 @@ def op9_benchmark_decontamination(spark, sf_dir):
 
 
 def op1_substring_dedup(spark, sf_dir):
-    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), within=True)
 
 
 def op4_quality_classifier(spark, sf_dir):

@@ -3,10 +3,10 @@
 A text is words between ASCII white space. A sentence ends after a word that ends in . ! or ? (a quote or bracket may
 follow), and at a line end; a sentence of more than LONG words is cut after the word of least hash of every CUT words in a
 row, so equal passages are cut alike wherever they stand, but for CUT words at either end. From every sentence, the run of RUN consecutive sentences, and on to RUN_WORDS words where
-these are short, is hashed (by its words, A-Z lower-cased) and joined globally. A run is repeated if it occurs in two
-documents; its first place is the least (doc_id, hash of the text, position), null ids first. Sentences that a repeated run
-covers at any other place go, where SPAN_WORDS words at least stand in a row. A document that only repeats itself is left
-alone.
+these are short, is hashed (by its words, A-Z lower-cased) and joined globally. Its first place is the least (doc_id, hash of the text, position),
+null ids first; sentences that it covers at any other place go, in another document or in the same one (within), where the
+runs that go cover least_words words at least in a row. Without within, a run counts as repeated only if two documents have
+it.
 
 A passage may begin and end within sentences that are cut in one document and too short to be cut in the other, so the runs
 may cover less of it than SPAN_WORDS words. Therefore spans of SPAN_WORDS words wherever they begin, of every SPAN_WORDS + 1
@@ -126,16 +126,16 @@ class Sentences:
         at = at[np.union1d(key, np.r_[key[1:], len(at)] - 1)]
         return at, h[at].view(np.int64)
 
-    def without(self, starts) -> tuple[bytes, int]:
-        """The text less the sentences that runs at these starts cover, and the number of sentences that went. A start below
-        0 is that of a span, -1 for the first word."""
+    def without(self, starts, least_words: int = SPAN_WORDS) -> tuple[bytes, int]:
+        """The text less the sentences that runs at these starts cover, where these and spans cover least_words words in a
+        row, and the number of sentences that went. A start below 0 is that of a span, -1 for the first word."""
         m, n, ends = len(self.words), len(self.hashes), self.ends()
         starts = np.asarray(starts, np.int64)
         spans, starts = -1 - starts[starts < 0], starts[starts >= 0]
         covered, first = _covered(starts, ends[starts], m), np.r_[self.first, n]
         held = _covered(np.r_[first[starts], spans], np.r_[first[ends[starts]], spans + SPAN_WORDS], n)
         size = np.diff(np.r_[np.flatnonzero(np.r_[True, held[1:] != held[:-1]]), n])
-        wide = np.repeat(size >= SPAN_WORDS, size)
+        wide = np.repeat(size >= least_words, size)
         turn = np.flatnonzero(np.r_[True, covered[1:] != covered[:-1]])
         kept, gone = [], 0
         offsets = np.r_[self.offsets, len(self.raw)]
@@ -174,26 +174,30 @@ def _run_rows(ids: Bloom, bloom=None):
     return run
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos) of every run and span of docs(doc_id, th, text), in two documents at least, that is not the first; pos
-    is that of Sentences.without. Only ids that several rows have need th for the first places, so others shed it there."""
+def repeated_runs(docs: DataFrame, within: bool = False) -> DataFrame:
+    """(doc_id, th, pos) of every run and span of docs(doc_id, th, text), in two documents at least or (within) at two places,
+    that is not the first; pos is that of Sentences.without. Only ids that several rows have need th for the first places, so
+    others shed it there. Repeated rows count as places here, but all of them are the first."""
     docs = docs.withColumn("ih", F.xxhash64("doc_id"))
     shared = Bloom.of(checkpoint(docs.groupBy("ih").count().filter("count > 1").select("ih")), "ih")
     schema = f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, pos int"
-    ends = docs.mapInArrow(_run_rows(shared), schema).groupBy("h").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), F.max(F.struct("doc_id", "th")).alias("last"))
-    first = checkpoint(ends.filter(~F.struct("first.doc_id", "first.th").eqNullSafe(F.col("last"))).select(F.col("h").alias("rh"), "first"))
+    more = F.count(F.lit(1)) if within else F.max(F.struct("doc_id", "th"))
+    ends = docs.mapInArrow(_run_rows(shared), schema).groupBy("h").agg(F.min(F.struct("doc_id", "th", "pos")).alias("first"), more.alias("more"))
+    several = F.col("more") > 1 if within else ~F.struct("first.doc_id", "first.th").eqNullSafe(F.col("more"))
+    first = checkpoint(ends.filter(several).select(F.col("h").alias("rh"), "first"))
     found = docs.mapInArrow(_run_rows(shared, Bloom.of(first, "rh")), schema)
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")) & F.coalesce(F.col("th") == F.col("first.th"), F.lit(True))
     return found.join(first, F.col("h") == F.col("rh")).filter(~is_first).select("doc_id", "th", "pos")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", within: bool = False, least_words: int = SPAN_WORDS) -> DataFrame:
     """The rows of docs with repeated spans cut from the text, and n_sentences and n_removed (with _ after them where docs
-    has columns of these names)."""
+    has columns of these names). within: repeats inside one document go as well. least_words: of what goes in a row; at 0
+    the sentences of every repeated run go, however short."""
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     id_, th, starts_ = (free_name(docs, c) for c in ("id_", "th_", "starts_"))
-    marks = repeated_runs(keyed).groupBy("doc_id", "th").agg(F.collect_set("pos").alias(starts_)).select(F.col("doc_id").alias(id_), F.col("th").alias(th), starts_)
+    marks = repeated_runs(keyed, within).groupBy("doc_id", "th").agg(F.collect_set("pos").alias(starts_)).select(F.col("doc_id").alias(id_), F.col("th").alias(th), starts_)
     joined = docs.join(marks, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(th)), "left").select(*docs.columns, starts_)
     at, names = docs.columns.index(text), docs.columns
     own = [free_name(docs, c) for c in ("n_sentences", "n_removed")]
@@ -205,7 +209,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 s = Sentences(raw) if raw else None
                 g = 0
                 if s and starts:
-                    raw, g = s.without(starts)
+                    raw, g = s.without(starts, least_words)
                 texts.append(raw)
                 sizes.append(len(s.words) if s else 0)
                 gone.append(g)
@@ -217,8 +221,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with repeated spans cut from text and the columns docs has; n_chars, if there, follows the text."""
-    cut = remove_repeats(docs)
+    """The rows of docs with repeated spans, within documents too, cut from text and the columns docs has; n_chars, if there,
+    follows the text."""
+    cut = remove_repeats(docs, within=True)
     changed = cut.columns[-1]
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col(changed) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
