@@ -49,3 +49,36 @@ def test_keep_good(spark):
     kept = quality.keep_good(docs, quality.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")))
     assert kept.columns == docs.columns
     assert np.mean([r["score"] for r in kept.collect()]) > 0.98
+
+
+def test_gathered_rows_are_bounded(spark, monkeypatch):
+    rows = corpus(100)
+    docs = spark.createDataFrame([(r[0] % 7, f"{r[1]} {i}") for i in range(6) for r in rows], "doc_id long, text string")
+    labels, held = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int"), []
+    monkeypatch.setattr(quality, "fit", lambda x, y: held.append(len(x)))
+    quality.train(docs, labels, 5)
+    quality.train(docs, labels, 60)
+    assert held == [5, 60]
+
+
+def test_scores_against_the_densities(spark):
+    """The score by determinants and inverses of the covariances, without factors."""
+    r = np.random.default_rng(3)
+    y = r.integers(0, 2, 300)
+    x = r.normal(size=(300, quality.FEATURES)) * 1.5 + y[:, None] * 0.4
+    x[:, 1] = np.log1p(r.integers(0, 300, 300))
+    model = quality.fit(x, y)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    own = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = ((y == 0).sum() * own[0] + (y == 1).sum() * own[1]) / 300
+    logs = []
+    for k in (0, 1):
+        n = (y == k).sum()
+        w = quality.POOLED + (1 - quality.POOLED) * quality.FEATURES / (quality.FEATURES + n)
+        c = (1 - w) * own[k] + w * pooled
+        c = (1 - quality.DIAGONAL) * c + quality.DIAGONAL * np.diag(np.diag(c)) + 1e-3 * np.eye(len(c))
+        d = z - z[y == k].mean(0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) + np.linalg.slogdet(c)[1]))
+    words = np.expm1(x[:, 1])
+    odds = np.log((y == 1).sum() / (y == 0).sum()) + (logs[1] - logs[0]) * quality.TEMPER * words / (words + quality.SHORT)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))

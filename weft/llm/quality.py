@@ -5,7 +5,8 @@ the difference of the two Gaussian log-densities (Mahalanobis terms by cached Ch
 damped by TEMPER, for statistics that depend on each other, and by words / (words + SHORT), since statistics of few words
 say little. A text is scored from its characters alone.
 
-Fitting uses at most MAX_TRAIN labelled rows, those with the least hash of doc_id; the rest of the work covers every row.
+Fitting uses at most MAX_TRAIN labelled ids and as many rows, those with the least hash of doc_id and then of the text; the
+rest of the work covers every row.
 Null text counts as empty; labels without a quality or doc_id are no examples, of a doc_id with several labels the largest
 counts. Without examples of both classes every score is 0.5.
 """
@@ -110,15 +111,17 @@ def _matrix(texts: list) -> np.ndarray:
 def _example_rows(batches):
     for batch in batches:
         x = _matrix(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(x), pa.list_(pa.float64()))], ["at", "th", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model | None:
-    """Fits on labelled rows outside the held-out fifth; the broadcast examples are bounded by max_rows."""
+    """Fits on labelled rows outside the held-out fifth; the ids that are broadcast and the rows that are gathered are max_rows at
+    most."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).filter(~held_out(F.col("doc_id")))
     sample = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    examples = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("quality", "text")
-    got = examples.mapInArrow(_example_rows, "quality int, x array<double>").toPandas()
+    examples = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select(F.xxhash64("_id").alias("at"), F.xxhash64("text").alias("th"), "quality", "text")
+    measured = examples.mapInArrow(_example_rows, "at long, th long, quality int, x array<double>")
+    got = measured.orderBy("at", "th").limit(max_rows).select("quality", "x").toPandas()  # rows that share an id are more than ids
     if not len(got):
         return None
     x, y = np.stack(got["x"]), got["quality"].to_numpy()
