@@ -7,7 +7,8 @@ word alone; the length of the document and the word's position bound the window'
 whole.
 
 A bit table of fixed size finds candidate words before any row is made, so documents shed all other words at the scan.
-The windows are broadcast up to BROADCAST_WINDOWS of them, beyond that they are shuffled to the candidates.
+The windows are broadcast up to BROADCAST_WINDOWS of them with BROADCAST_BYTES of words, beyond that they are shuffled to the
+candidates.
 
 Null and blank texts have no words and no hits; items without an id or words have no windows. Rows equal in id and text
 get one row each. Other columns are ignored.
@@ -18,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free_name
+from .common import checkpoint, free_name, lookup
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
 BITS = 1 << 18
-BROADCAST_WINDOWS = 100_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 100_000, 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,10 +64,15 @@ def _counts(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each window with its rarest word (the first of equals by word) and that word's first place in it."""
+def _anchored(windows: DataFrame, words: DataFrame) -> DataFrame:
+    """Each window with its rarest word (the first of equals by word) and that word's first place in it. Words are looked up
+    by hash: a clash makes a word seem less rare, which any word of the window may be."""
     each = windows.select("win", "items", F.posexplode("win").alias("offset", "word"))
-    ranked = each.join(counts, "word", "left").select("win", "items", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset").alias("x"))
+    vocabulary = checkpoint(each.groupBy("word").agg(F.count(F.lit(1)).alias("m")))
+    known = vocabulary.join(_counts(words, vocabulary.select("word")), "word", "left")
+    by_hash = known.groupBy(F.xxhash64("word").alias("key")).agg(F.sum("m").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    counted = lookup(each.withColumn("key", F.xxhash64("word")), by_hash, "key", "m", F.struct("win", "offset"))
+    ranked = counted.select("win", "items", F.struct("n", "word", "offset").alias("x"))
     return ranked.groupBy("win").agg(F.first("items").alias("items"), F.min("x").alias("x")).select(F.col("x.word").alias("anchor"), F.col("x.offset").alias("offset"), F.size("win").alias("len"), "win", "items")
 
 
@@ -81,12 +87,11 @@ def _contained(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     words = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
     windows = checkpoint(windows_of(benchmark, "item_id", "text", window))
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
     no_match = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<string>").alias("near"))
     if windows.isEmpty():
         anchors, found = None, F.array(no_match)
     else:
-        anchors = checkpoint(_anchored(windows, _counts(words.select("w"), vocabulary)))
+        anchors = checkpoint(_anchored(windows, words.select("w")))
         table = _table(anchors.select("anchor").distinct(), "anchor")
         places = F.filter(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>")), lambda i: _in_table(F.get(F.col("w"), i), table))
         first = lambda i: F.greatest(i - (window - 1), F.lit(0))
@@ -96,7 +101,8 @@ def _contained(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     if anchors is None:
         matched = rows.select("doc_id", "th", "n_words", "i", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("items"))
     else:
-        side = F.broadcast(anchors) if anchors.count() <= BROADCAST_WINDOWS else anchors
+        held = anchors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " "))).alias("bytes")).first()
+        side = F.broadcast(anchors) if held.n <= BROADCAST_WINDOWS and held["bytes"] <= BROADCAST_BYTES else anchors
         at = F.col("i") - F.col("offset")
         start = at - F.greatest(F.col("i") - (window - 1), F.lit(0))
         whole = (F.col("word") == F.col("anchor")) & (at >= 0) & (at + F.col("len") <= F.col("n_words")) & (F.slice("near", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win"))
