@@ -57,3 +57,20 @@ def test_clashing_names(spark):
     out = sharding.assign(df, 2)
     assert out.columns == ["doc_id", "size", "shard", "key", "law", "shard_", "slot", "grown_shard"]
     assert out.first()["shard"] == 3
+
+
+def test_places_against_one_running_sum(spark):
+    """Shard and slot of each row from one sum over all rows in order of ids, and the same under another partitioning."""
+    rows = [(i * 13 % 401, "é" * (i * 7 % 61)) for i in range(401)] + [(1000, "x" * 3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    order = sorted((d, len(t.encode()) + 16) for d, t in rows)
+    total, before, expected, slots = sum(s for _, s in order), 0, [], {}
+    for d, s in order:
+        shard = min(6, (2 * before + s) * 7 // (2 * total))
+        expected.append((d, shard, slots.setdefault(shard, 0)))
+        slots[shard] += 1
+        before += s
+    got = lambda d: sorted((r.doc_id, r.shard, r.slot) for r in sharding.assign(sharding.sized(d), 7).collect())
+    assert got(df) == expected
+    hot = spark.createDataFrame([(5, f"t{i}" * (i % 9)) for i in range(300)], SCHEMA)
+    assert [[(r.text_crc32, r.shard, r.slot) for r in sharding.assign(sharding.sized(d), 7).orderBy("shard", "slot").collect()] for d in (hot.repartition(2),)] == [[(r.text_crc32, r.shard, r.slot) for r in sharding.assign(sharding.sized(hot.repartition(5)), 7).orderBy("shard", "slot").collect()]]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, bounds_of, bucket_of, parallelism
 
 KEPT = 64
-RANGE_ROWS = 20_000
+RANGE_ROWS = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -138,8 +138,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("tie", F.xxhash64("text"))
-    parts = min(4096, max(parallelism(docs.sparkSession), docs.count() // RANGE_ROWS))
-    keyed = keyed.withColumn("part", bucket_of(F.col("key"), F.col("tie"), bounds_of(keyed.select("key"), "key", parts)))
+    rows = docs.count()
+    parts = max(parallelism(docs.sparkSession), rows // RANGE_ROWS)
+    keyed = keyed.withColumn("part", bucket_of(F.col("key"), F.col("tie"), bounds_of(keyed.select("key"), "key", parts, rows)))
     tops = sorted((r.part, r.top.key, r.top.tie) for r in keyed.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("top")).collect())  # a row a range
     schema = "top_part int, top_key long, top_tie long, to int"
     targets = docs.sparkSession.createDataFrame([(p, k, t, tops[(i + 1) % len(tops)][0]) for i, (p, k, t) in enumerate(tops)], schema)

@@ -5,7 +5,7 @@ Rows are ordered by id (nulls first) and dealt into ranges of ids; each range su
 targets: a row belongs to the shard that holds its middle byte, so shards differ from the target by less than a row at
 each end, and their slots run from 0 without a gap.
 
-Rows that share an id stand in the order of a hash; a hot id is dealt over several ranges. Null texts have no bytes. An
+Rows that share an id stand in the order of a hash of their columns; a hot id is dealt over several ranges. Null texts have no bytes. An
 empty table gives no rows; a shard stays empty only where one row is longer than a shard.
 """
 
@@ -32,9 +32,10 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     that rows has get _ after them."""
     spark = rows.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    held = checkpoint(rows.select(F.struct(*rows.columns).alias("row"), F.col("size"), key.alias("key"), F.xxhash64(F.monotonically_increasing_id()).alias("tie")))
-    parts = min(PARTS, max(8 * parallelism(spark), held.count() // ROWS_IN_PART))
-    held = held.withColumn("part", bucket_of(F.col("key"), F.col("tie"), bounds_of(held, "key", parts)))
+    held = checkpoint(rows.select(F.struct(*rows.columns).alias("row"), F.col("size"), key.alias("key"), F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]).alias("tie")))
+    n = held.count()
+    parts = min(PARTS, max(8 * parallelism(spark), n // ROWS_IN_PART))
+    held = held.withColumn("part", bucket_of(F.col("key"), F.col("tie"), bounds_of(held, "key", parts, n)))
     order = Window.partitionBy("part").orderBy("key", "tie")
     placed = held.withColumn("place", F.row_number().over(order)).withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     totals = held.groupBy("part").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
