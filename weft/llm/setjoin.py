@@ -43,7 +43,7 @@ POSTINGS = 1 << 19  # index entries that a task holds before it packs them
 MOST_BITS = 20  # at most so many bits of a token choose its bucket
 LIST_MOST = 1 << 18  # sets in an index list, about; longer lists are split
 MOST_EXTRA = 1 << 15  # buckets for the parts of split lists
-BLOCK = 1024  # sets in a block of an index list
+BLOCK = 256  # sets in a block of an index list
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _U = np.uint64
 
