@@ -3,7 +3,11 @@
 Covered: JDBC escapes {fn f(x)}, {d '…'}, {t '…'}, {ts '…'}; comparisons with SOME, ANY and ALL of a sub-query; OFFSET … ROWS FETCH
 NEXT … ROWS ONLY; TUMBLE, HOP and SESSION with their START and END; TABLESAMPLE BERNOULLI and SYSTEM; BETWEEN SYMMETRIC;
 SIMILAR TO a literal; IS [NOT] JSON; MEMBER OF, IS A SET and IS EMPTY; MULTISET UNION, EXCEPT and INTERSECT [DISTINCT];
-OVERLAPS and the other period predicates; SELECT STREAM; GROUP_ID() is left to the builder.
+OVERLAPS and the other period predicates; SELECT STREAM; CROSS and OUTER APPLY; SYSTEM_USER, CURRENT_ROLE and CURRENT_PATH (the
+last two are empty texts); EXPLAIN PLAN FOR. GROUP_ID() is left to the builder.
+
+Nulls sort high where the text doesn't say otherwise, also in windows; a division by zero gives null. Text between quotes and
+comments are set apart before anything is read.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ def _escapes(text: str) -> str:
         name = m[1].upper()
         if name == "TRUNCATE":
             return f"(signum({m[2]}) * floor(abs({m[2]})))"
+        if name in ("TIMESTAMPADD", "TIMESTAMPDIFF"):
+            return f"{name}({re.sub(r'SQL_TSI_', '', m[2], flags=re.I)})"
         return f"{_ESCAPES[name]}({m[2]})"
 
     text = re.sub(r"\{\s*d\s+('[^']*')\s*\}", r"DATE \1", text, flags=re.I)
@@ -53,29 +59,92 @@ _EXTREME = {("<", "SOME"): "max", ("<=", "SOME"): "max", (">", "SOME"): "min", (
 
 
 def _quantified(text: str) -> str:
-    """x < SOME (q) compares with the greatest of q, x < ALL (q) with the least; ALL of no rows is true, and of rows with a
-    null never more than unknown."""
+    """x < SOME (q) compares with the greatest of q, x < ALL (q) with the least. Of no rows SOME is false and ALL true; where
+    the values decide nothing, a null among them makes the answer unknown."""
     pattern = re.compile(rf"{_FIELD}\s*(<=|>=|<>|=|<|>)\s*(SOME|ANY|ALL)\s*\(", re.I)
     while m := pattern.search(text):
         end = _closing(text, m.end() - 1)
         x, op, how, query = m[1], m[2], "ALL" if m[3].upper() == "ALL" else "SOME", text[m.end() : end - 1]
+        of = lambda e: f"(SELECT {e} FROM ({query}) AS q_(v_))"  # noqa: B023, E731
         if (op, how) == ("=", "SOME"):
             new = f"{x} IN ({query})"
         elif (op, how) == ("<>", "ALL"):
             new = f"{x} NOT IN ({query})"
-        elif op in ("=", "<>"):
-            every = f"(SELECT min(v_) FROM ({query}) AS q_(v_)), (SELECT max(v_) FROM ({query}) AS q_(v_))"
-            lo, hi = every.split("), (")
-            lo, hi = lo + ")", "(" + hi
-            new = f"({x} = {lo} AND {x} = {hi})" if op == "=" else f"({x} <> {lo} OR {x} <> {hi})"
         else:
-            new = f"{x} {op} (SELECT {_EXTREME[op, how]}(v_) FROM ({query}) AS q_(v_))"
-            if how == "ALL":
-                new = f"coalesce({new}, (SELECT count(*) = 0 FROM ({query}) AS q_(v_)))"
+            if op in ("=", "<>"):
+                holds = f"({x} {op} {of('min(v_)')} {'AND' if op == '=' else 'OR'} {x} {op} {of('max(v_)')})"
+            else:
+                holds = f"{x} {op} {of(_EXTREME[op, how] + '(v_)')}"
+            none, decided = ("true", "NOT ") if how == "ALL" else ("false", "")
+            new = f"CASE WHEN {of('count(*) = 0')} THEN {none} WHEN {decided}{holds} THEN {'false' if how == 'ALL' else 'true'} WHEN {of('count(v_) < count(*)')} THEN NULL ELSE {holds} END"
         text = text[: m.start()] + new + text[end:]
     return text
 
 
+_AFTER_ORDER = {"LIMIT", "OFFSET", "FETCH", "ROWS", "RANGE", "GROUPS", "UNION", "INTERSECT", "EXCEPT", "MINUS", "WINDOW", "FOR", "CLUSTER", "DISTRIBUTE", "SORT"}
+
+
+def _nulls_high(text: str) -> str:
+    """Says where nulls stand in each ORDER BY that doesn't."""
+    out, at = [], 0
+    for m in re.finditer(r"\bORDER\s+BY\b", text, re.I):
+        if re.search(r"WITHIN\s+GROUP\s*\(\s*$", text[: m.start()], re.I):
+            continue
+        depth, start, ends = 0, m.end(), []
+        stop = len(text)
+        for t in re.finditer(r"'[^']*'|`[^`]*`|\w+|\S", text[m.end() :]):
+            place, word = m.end() + t.start(), t[0].upper()
+            depth += (word in "([" and len(word) == 1) - (word in ")]" and len(word) == 1)
+            if depth < 0 or depth == 0 and (word in _AFTER_ORDER or word == ";"):
+                stop = place
+                break
+            if depth == 0 and word == ",":
+                ends.append(place)
+        for end in [*ends, stop]:
+            item = text[start:end].rstrip()
+            if not re.search(r"\bNULLS\s+(FIRST|LAST)$", item, re.I) and item.strip().upper() != "ALL":
+                place = start + len(item)
+                out.append((place, " NULLS FIRST" if re.search(r"\bDESC$", item, re.I) else " NULLS LAST"))
+            start = end + 1
+    for place, words in sorted(out, reverse=True):
+        text = text[:place] + words + text[place:]
+    return text
+
+
+_NUMBER = re.compile(r"\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+")
+_OPERAND = re.compile(r"[A-Za-z_`][\w.`]*")
+
+
+def _divided(text: str) -> str:
+    """A divisor of zero becomes null."""
+    out, at = [], 0
+    while m := re.compile(r"[/%]\s*").search(text, at):
+        out.append(text[at : m.end()])
+        at = m.end()
+        if _NUMBER.match(text, at) or text[at : at + 1] in "+-'":
+            continue
+        name = _OPERAND.match(text, at)
+        end = name.end() if name else at
+        if name and name[0].upper() in ("CASE", "INTERVAL", "DATE", "TIMESTAMP"):
+            continue
+        while text[end : end + 1] in ("(", "["):
+            end = _closing(text, end) if text[end] == "(" else text.index("]", end) + 1
+        if end > at:
+            out.append(f"nullif({_divided(text[at:end])}, 0)")
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def _applied(text: str) -> str:
+    """CROSS and OUTER APPLY of a sub-query."""
+    text = re.sub(r"\bCROSS\s+APPLY\b", "CROSS JOIN LATERAL", text, flags=re.I)
+    while m := re.search(r"\bOUTER\s+APPLY\s*(?=\()", text, re.I):
+        end = _closing(text, m.end())
+        alias = re.compile(r"\s*(?:AS\s+)?\w+(?:\s*\([^()]*\))?", re.I).match(text, end)
+        text = f"{text[: m.start()]}LEFT JOIN LATERAL {text[m.end() : alias.end()]} ON true{text[alias.end() :]}"
+    return text
+
+
 def _windows(text: str) -> str:
     def length(interval: str) -> str:
         n, unit = re.match(r"INTERVAL\s+'?(\d+)'?\s+(\w+)", interval.strip(), re.I).groups()
@@ -133,23 +202,32 @@ def _multisets(text: str) -> str:
 
 
 def translated(text: str) -> str:
-    """The text as Spark reads it. String literals are kept apart, so nothing in them is taken for syntax."""
-    text = _escapes(text)
-    text = re.sub(rf"{_FIELD}\s+(NOT\s+)?SIMILAR\s+TO\s+'((?:[^']|'')*)'", lambda m: f"{m[2] or ''}{m[1]} RLIKE r'{similar_pattern(m[3])}'", text, flags=re.I)
+    """The text as Spark reads it. Quoted text is kept apart, so nothing in it is taken for syntax."""
     held: list[str] = []
 
     def keep(m: re.Match) -> str:
+        if m[0][0] in "-/":
+            return " "
+        if re.fullmatch(r"'[\d.]+'", m[0]):
+            return m[0]
         held.append(m[0])
         return f"'\x00{len(held) - 1}\x00'"
 
-    text = re.sub(r"r?'(?:[^']|'')*'", keep, text) if not re.search(r"INTERVAL\s+'", text, re.I) else text
+    text = re.sub(r"--[^\n]*|/\*.*?\*/|\b[rRxX]?'(?:[^']|'')*'|'(?:[^']|'')*'|\"[^\"]*\"", keep, text, flags=re.S)
+    text = _escapes(text)
+    inside = lambda n: held[int(n)][1:-1]
+    text = re.sub(rf"{_FIELD}\s+(NOT\s+)?SIMILAR\s+TO\s+'\x00(\d+)\x00'", lambda m: f"{m[2] or ''}{m[1]} RLIKE {keep(re.match('.*', 'r' + chr(39) + similar_pattern(inside(m[3])) + chr(39), re.S))}", text, flags=re.I)
     text = re.sub(r"\bSELECT\s+STREAM\b", "SELECT", text, flags=re.I)
-    text = _windows(_quantified(_periods(_json(_multisets(text)))))
+    text = re.sub(r"\bEXPLAIN\s+PLAN\s+FOR\b", "EXPLAIN", text, flags=re.I)
+    text = re.sub(r"\bSYSTEM_USER\b(?!\s*\()", "current_user()", text, flags=re.I)
+    text = re.sub(r"\bCURRENT_(?:ROLE|PATH)\b(?!\s*\()", "''", text, flags=re.I)
+    text = _windows(_quantified(_applied(_periods(_json(_multisets(text))))))
     text = re.sub(rf"{_FIELD}\s+(NOT\s+)?BETWEEN\s+SYMMETRIC\s+{_VALUE}\s+AND\s+{_VALUE}", lambda m: f"{m[1]} {m[2] or ''}BETWEEN least({m[3]}, {m[4]}) AND greatest({m[3]}, {m[4]})", text, flags=re.I)
     text = re.sub(r"\bTABLESAMPLE\s+(?:BERNOULLI|SYSTEM)\s*\(\s*([\d.]+)\s*\)", r"TABLESAMPLE (\1 PERCENT)", text, flags=re.I)
     text = re.sub(r"\bOFFSET\s+(\d+)\s+ROWS?\s+FETCH\s+(?:NEXT|FIRST)\s+(\d+)\s+ROWS?\s+ONLY\b", r"LIMIT \2 OFFSET \1", text, flags=re.I)
     text = re.sub(r"\bFETCH\s+(?:NEXT|FIRST)\s+(\d+)\s+ROWS?\s+ONLY\b", r"LIMIT \1", text, flags=re.I)
     text = re.sub(r"\bOFFSET\s+(\d+)\s+ROWS?\b", r"OFFSET \1", text, flags=re.I)
+    text = _nulls_high(_divided(text))
     return re.sub("'\x00(\\d+)\x00'", lambda m: held[int(m[1])], text)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from weft.sources.catalog import TABLES, register, table
+from weft.operators import sql
+from weft.sources.catalog import TABLES, table
 
 __all__ = ["Catalog", "table"]
 
@@ -30,12 +31,11 @@ class Catalog:
         return keep
 
     def sql(self, name: str, text: str, oracle: str | None = None) -> None:
-        """Registers a query given as SQL; its twin is the same text unless dialects differ."""
+        """Registers a query given in the dialect; its twin is the same text unless dialects differ."""
 
         names = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
         def run(spark, sf_dir):
-            register(spark, sf_dir, names)
-            return spark.sql(text)
+            return sql.run(spark, text, lambda n: table(spark, sf_dir, n), names)
 
         self.query(name, oracle or text)(run)

@@ -32,3 +32,16 @@ _sql("multisets", "SELECT k, array_sort(a MULTISET UNION b) AS u, array_sort(a M
 _sql("tumble", "SELECT STREAM TUMBLE_START(ts, INTERVAL '1' HOUR) AS s, event_type, count(*) AS n FROM events GROUP BY TUMBLE(ts, INTERVAL '1' HOUR), event_type", "SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 _sql("session", "SELECT user_id, SESSION_START(ts, INTERVAL '2' HOUR) AS s, SESSION_END(ts, INTERVAL '2' HOUR) AS e, count(*) AS n FROM events GROUP BY user_id, SESSION(ts, INTERVAL '2' HOUR)",
      "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS f FROM events), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, min(ts) AS s, max(ts) + INTERVAL '2 hours' AS e, count(*) AS n FROM b GROUP BY user_id, g")
+
+_SOME_NULL = "(SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey % 5 END AS v FROM nation) AS x"
+_sql("nulls_high", f"SELECT k, v, row_number() OVER (ORDER BY v DESC, k) AS r FROM {_SOME_NULL} ORDER BY v DESC, k LIMIT 12", f"SELECT k, v, row_number() OVER (ORDER BY v DESC NULLS FIRST, k) AS r FROM {_SOME_NULL} ORDER BY v DESC NULLS FIRST, k LIMIT 12")
+_sql("nulls_high_ascending", f"SELECT k, v, first_value(k) OVER (PARTITION BY k % 2 ORDER BY v, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM {_SOME_NULL} ORDER BY v, k LIMIT 20", f"SELECT k, v, first_value(k) OVER (PARTITION BY k % 2 ORDER BY v NULLS LAST, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM {_SOME_NULL} ORDER BY v NULLS LAST, k LIMIT 20")
+_sql("quantified_nulls", f"SELECT r_regionkey AS k, r_regionkey < ALL (SELECT v + 3 FROM {_SOME_NULL}) AS a, r_regionkey <= SOME (SELECT v FROM {_SOME_NULL}) AS s, r_regionkey = ALL (SELECT v FROM {_SOME_NULL} WHERE k > 99) AS e, r_regionkey >= ALL (SELECT v FROM {_SOME_NULL} WHERE v IS NOT NULL) AS g FROM region",
+     "SELECT r_regionkey AS k, CASE WHEN r_regionkey < 3 THEN CAST(NULL AS BOOLEAN) ELSE false END AS a, CASE WHEN r_regionkey <= 4 THEN true END AS s, true AS e, r_regionkey >= 4 AS g FROM region")
+_sql("quantified_filter", f"SELECT n_name FROM nation WHERE n_nationkey < ALL (SELECT v + 3 FROM {_SOME_NULL})", "SELECT n_name FROM nation WHERE false")
+_sql("division", "SELECT n_nationkey, 10 / n_regionkey AS d, n_nationkey % (n_regionkey - 1) AS m, 6 / 4 AS c FROM nation", "SELECT n_nationkey, 10 / nullif(n_regionkey, 0) AS d, n_nationkey % nullif(n_regionkey - 1, 0) AS m, 6 / 4 AS c FROM nation")
+_sql("literals", "SELECT n_nationkey, 'a IS EMPTY' AS a, '{fn ABS(x)} ORDER BY y / 0' AS b, INTERVAL '2' DAY IS NOT NULL AS i FROM nation -- 'no'\n /* ORDER BY 5 */ WHERE n_name <> 'x /* y'", "SELECT n_nationkey, 'a IS EMPTY' AS a, '{fn ABS(x)} ORDER BY y / 0' AS b, true AS i FROM nation")
+_sql("apply", "SELECT r_name, x.n FROM region CROSS APPLY (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) AS x", "SELECT r_name, count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+_sql("outer_apply", "SELECT n_name, x.b FROM nation OUTER APPLY (SELECT max(s_acctbal) AS b FROM supplier WHERE s_nationkey = n_nationkey) AS x", "SELECT n_name, max(s_acctbal) AS b FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+_sql("context", "SELECT n_nationkey, SYSTEM_USER IS NOT NULL AS u, CURRENT_ROLE AS r, CURRENT_PATH AS p FROM nation", "SELECT n_nationkey, true AS u, '' AS r, '' AS p FROM nation")
+_sql("timestamp_escapes", "SELECT o_orderkey, {fn TIMESTAMPADD(SQL_TSI_DAY, 3, o_orderdate)} AS a, {fn TIMESTAMPDIFF(DAY, {ts '1995-01-01 00:00:00'}, CAST(o_orderdate AS TIMESTAMP))} AS d FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3 DAY AS a, datediff('day', DATE '1995-01-01', o_orderdate) AS d FROM orders")
