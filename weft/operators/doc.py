@@ -366,7 +366,41 @@ class Collection:
         return Collection(self.df.unionByName(docs, allowMissingColumns=True))
 
     def delete(self, query: dict) -> Collection:
-        return Collection(self.df.filter(~self.query.filter(query)))
+        return Collection(self.df.filter(~F.coalesce(self.query.filter(query), F.lit(False))))
+
+    def _parted(self, query: dict, sort: dict | None = None) -> tuple[Collection, Collection]:
+        """One document that matches (the first of a sort, of equals the least as JSON), and the others."""
+        shown = F.to_json(F.struct(*self.df.columns))
+        found = self.match(query).df
+        order = [F.col(p).asc_nulls_first() if way == 1 else F.col(p).desc_nulls_last() for p, way in (sort or {}).items()]
+        first = found.orderBy(*order, shown).select(shown.alias("d")).first()
+        if first is None:
+            return Collection(self.df.limit(0)), self
+        same = shown == first["d"]
+        equals = self.df.filter(same)
+        return Collection(equals.limit(1)), Collection(self.df.filter(~same).unionByName(equals.offset(1)))
+
+    def delete_one(self, query: dict, sort: dict | None = None) -> Collection:
+        return self._parted(query, sort)[1]
+
+    def update_one(self, query: dict, update, sort: dict | None = None) -> Collection:
+        one, others = self._parted(query, sort)
+        return one.update({}, update).insert(others.df)
+
+    def replace_one(self, query: dict, doc: dict, sort: dict | None = None) -> Collection:
+        one, others = self._parted(query, sort)
+        return one.replace({}, doc).insert(others.df)
+
+    def of(self, docs: list[dict]) -> DataFrame:
+        """Documents as a frame of this collection's fields and those they have besides; numbers take the fields' types."""
+        spark = self.df.sparkSession
+        if not docs:
+            return self.df.limit(0)
+        text = spark.createDataFrame([(json.dumps(d),) for d in docs], "d string")
+        kind = text.select(F.schema_of_json(F.lit(json.dumps(_merged(docs))))).first()[0]
+        new = text.select(F.from_json("d", kind).alias("d")).select("d.*")
+        known = {f.name: f.dataType for f in self.df.schema.fields}
+        return new.select(*[F.col(f"`{c}`").cast(known[c]).alias(c) if c in known else F.col(f"`{c}`") for c in new.columns])
 
     def replace(self, query: dict, doc: dict) -> Collection:
         hit = self.query.filter(query)
@@ -396,6 +430,16 @@ class Collection:
         return self.df.select(F.to_json(F.struct(*self.df.columns)).alias(name))
 
 
+def _merged(docs: list):
+    """One document with all fields of these, to tell their types."""
+    out: dict = {}
+    for d in docs:
+        for k, v in d.items():
+            old = out.get(k)
+            out[k] = _merged([old, v]) if isinstance(old, dict) and isinstance(v, dict) else old if v is None else v
+    return out
+
+
 def parse_value(text: str):
     """A JSON-like value; keys may stand without quotes, strings in single ones."""
     try:
@@ -407,15 +451,11 @@ def parse_value(text: str):
     return ast.literal_eval(quoted)
 
 
-_STATEMENT = re.compile(r"^\s*db\.(\w+)\.(\w+)\((.*?)\)\s*(.*)$", re.S)
-
-
-def run(text: str, collections) -> DataFrame:
-    """A statement db.collection.method(arguments), with .sort, .limit and .skip after find; collections(name) gives frames."""
-    head = re.match(r"^\s*db\.(\w+)\.", text)
-    rest, calls = text[head.end() :].strip().rstrip(";"), []
+def _calls(rest: str) -> list[tuple[str, list]]:
+    """The calls .name(arguments) of a statement, in order."""
+    rest, calls = rest.strip().rstrip(";"), []
     while rest:
-        name = re.match(r"\.?(\w+)\(", rest)
+        name = re.match(r"\.?\s*(\w+)\s*\(", rest)
         depth, i, mark = 1, name.end(), None
         while depth:
             ch = rest[i]
@@ -429,10 +469,133 @@ def run(text: str, collections) -> DataFrame:
         inside = rest[name.end() : i - 1].strip()
         calls.append((name[1], parse_value(f"[{inside}]") if inside else []))
         rest = rest[i:].strip()
+    return calls
+
+
+def _options(args: list, at: int) -> dict:
+    return args[at] if len(args) > at and isinstance(args[at], dict) else {}
+
+
+def _written(c: Collection, name: str, args: list) -> Collection:
+    """The collection after a statement that changes it."""
+    if name in ("insertOne", "save", "insertMany", "insert"):
+        docs = args[0] if isinstance(args[0], list) else [args[0]]
+        if name == "save":  # an equal _id is replaced
+            for d in docs:
+                c = c.delete({"_id": d["_id"]}) if "_id" in d and "_id" in c.df.columns else c
+        return c.insert(c.of(docs))
+    if name == "deleteMany" or name == "remove" and not (len(args) > 1 and (args[1] is True or _options(args, 1).get("justOne"))):
+        return c.delete(args[0] if args else {})
+    if name in ("deleteOne", "remove"):
+        return c.delete_one(args[0])
+    upsert = name in ("updateOne", "updateMany", "replaceOne") and _options(args, 2).get("upsert")
+    if upsert and c.match(args[0]).df.isEmpty():
+        plain = {k: v for k, v in args[0].items() if not k.startswith("$") and not isinstance(v, dict)}
+        return c.insert(c.of([{**plain, **(args[1] if name == "replaceOne" else args[1].get("$set", {}))}]))
+    return {"updateMany": c.update, "updateOne": c.update_one, "replaceOne": c.replace_one}[name](*args[:2])
+
+
+_READS = {"find": "find", "findOne": "find_one", "aggregate": "aggregate", "countDocuments": "count_documents", "sort": "sort", "limit": "limit", "skip": "skip"}
+
+
+def _one_and(c: Collection, name: str, args: list) -> tuple[Collection, Collection]:
+    """The document that a findOneAnd... statement gives, and the collection after it: the document before the change, or with
+    returnNewDocument or returnDocument 'after' the changed one."""
+    if name == "findAndModify":
+        spec = args[0]
+        how = "Delete" if spec.get("remove") else "Update" if isinstance(spec["update"], list) or any(k.startswith("$") for k in spec["update"]) else "Replace"
+        query, change, options = spec.get("query", {}), spec.get("update"), {"sort": spec.get("sort"), "projection": spec.get("fields"), "returnNewDocument": spec.get("new")}
+    else:
+        how, query = name.removeprefix("findOneAnd"), args[0]
+        change, options = (None, _options(args, 1)) if how == "Delete" else (args[1], _options(args, 2))
+    one, others = c._parted(query, options.get("sort"))
+    if how == "Delete":
+        new, after = one, others
+    else:
+        new = one.update({}, change) if how == "Update" else one.replace({}, change)
+        after = new.insert(others.df)
+    shown = new if options.get("returnNewDocument") or options.get("returnDocument") == "after" else one
+    return (shown.project(options["projection"]) if options.get("projection") else shown), after
+
+
+def run(text: str, collections) -> DataFrame:
+    """A statement db.collection.method(arguments), with .sort, .limit and .skip after find; collections(name) gives frames.
+    A statement that changes documents gives the collection after it, findOneAnd... the document."""
+    head = re.match(r"^\s*db\.(\w+)\.", text)
     c = Collection(collections(head[1]))
-    for name, args in calls:
-        c = {
-            "find": c.find, "findOne": c.find_one, "aggregate": c.aggregate, "countDocuments": c.count_documents, "deleteMany": c.delete, "deleteOne": c.delete, "remove": c.delete,
-            "updateMany": c.update, "updateOne": c.update, "replaceOne": c.replace, "sort": c.sort, "limit": c.limit, "skip": c.skip,
-        }[name](*args)
+    for name, args in _calls(text[head.end() :]):
+        if name.startswith("findOneAnd") or name == "findAndModify":
+            c = _one_and(c, name, args)[0]
+        else:
+            c = getattr(c, _READS[name])(*args) if name in _READS else _written(c, name, args)
     return c.df
+
+
+class Database:
+    """Collections under names, and statements that change them: each change is held before the next reads it."""
+
+    def __init__(self, spark, collections: dict[str, DataFrame] | None = None):
+        self.spark, self.held = spark, {"db": dict(collections or {})}
+        self.now = "db"
+
+    @property
+    def collections(self) -> dict[str, DataFrame]:
+        return self.held[self.now]
+
+    def _names(self, column: str, names) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in sorted(names)], f"{column} string")
+
+    def execute(self, text: str) -> DataFrame | None:
+        """use, show dbs and show collections; db.createCollection, createView, dropDatabase; of a collection drop,
+        renameCollection, createIndex (which Spark has no use for), changes and reads. Gives rows of reads."""
+        from weft.sources.scratch import held
+
+        text = text.strip().rstrip(";")
+        if m := re.fullmatch(r"use\s+(\w+)", text):
+            self.now = m[1]
+            self.held.setdefault(self.now, {})
+            return None
+        if re.fullmatch(r"show\s+(dbs|databases)", text):
+            return self._names("name", self.held)
+        if re.fullmatch(r"show\s+(collections|tables)", text):
+            return self._names("name", self.collections)
+        if m := re.match(r"db\.(\w+)\s*\(", text):
+            name, args = _calls(text[3:])[0]
+            if name == "dropDatabase":
+                self.held.pop(self.now)
+                self.now = "db"
+                self.held.setdefault("db", {})
+            elif name in ("createCollection", "createView") and args[0] in self.collections:
+                raise ValueError(f"there is a collection {args[0]}")
+            elif name == "createCollection":
+                self.collections[args[0]] = self.spark.createDataFrame([], "_id string")
+            elif name == "createView":
+                self.collections[args[0]] = Collection(self.collections[args[1]]).aggregate(args[2]).df
+            elif name == "getCollectionNames":
+                return self._names("name", self.collections)
+            else:
+                raise ValueError(f"cannot run: {text}")
+            return None
+        name = re.match(r"db\.(\w+)\.", text)[1]
+        calls = _calls(text[len(f"db.{name}.") :])
+        verb, args = calls[0]
+        if verb == "drop":
+            self.collections.pop(name, None)
+        elif verb == "renameCollection":
+            self.collections[args[0]] = self.collections.pop(name)
+        elif verb == "createIndex":
+            pass
+        elif verb.startswith("findOneAnd") or verb == "findAndModify":
+            found, after = _one_and(Collection(self.collections[name]), verb, args)
+            out = held(found.df)
+            self.collections[name] = held(after.df)
+            return out
+        elif verb in _READS:
+            return run(text, self.collections.__getitem__)
+        else:
+            frame = self.collections.get(name)
+            empty = frame is None or frame.columns == ["_id"] and frame.isEmpty()
+            if verb in ("insertOne", "insertMany", "insert", "save") and empty:
+                frame = self.spark.createDataFrame([], "_id string").select()  # fields come with the documents
+            self.collections[name] = held(_written(Collection(frame), verb, args).df)
+        return None

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.sources.scratch import held
+
 
 def node_rows(df: DataFrame, label: str, key: str, id_prefix: str | None = None) -> DataFrame:
     """Each row as a node: its columns are the properties, the table's name the label."""
@@ -189,11 +191,11 @@ class _Parser:
         while self.take(":", "|"):
             part.labels.append(self.name())
         if self.take("*"):
-            part.least, part.most = 1, 3
+            part.least, part.most = 1, None  # of any length
             if self.tokens[self.at][0] == "num":
                 part.least = part.most = int(self.name())
             if self.take(".."):
-                part.most = int(self.name())
+                part.most = int(self.name()) if self.tokens[self.at][0] == "num" else None
         if self.peek("{"):
             part.properties = self.map()
         self.need(close)
@@ -315,12 +317,14 @@ class Cypher:
         if p.take("-"):
             a, t = self._atom(p)
             return -self._number(a, t), "number"
+        if p.peek("[") and p.peek("IN", ahead=2):
+            return self._comprehension(p), "value"
         if p.take("["):
             items = []
             while not p.take("]"):
                 items.append(self._sum(p)[0])
                 p.take(",")
-            return F.array(*items), "value"
+            return self._looked_up(p, F.array(*items)), "value"
         if p.peek("ALL", "ANY", "NONE", "SINGLE") and p.peek("(", ahead=1):
             return self._quantified(p), "value"
         if p.peek("CASE"):
@@ -330,6 +334,8 @@ class Cypher:
             x = p.literal()
             return F.lit(x), "number" if isinstance(x, (int, float)) and not isinstance(x, bool) else "text" if isinstance(x, str) else "value"
         name = p.name()
+        if name in getattr(self, "bound", {}):
+            return self.bound[name], "value"
         if p.peek("("):
             return self._call(name.lower(), p)
         if p.take("."):
@@ -337,10 +343,59 @@ class Cypher:
             if self.names.get(name) in ("node", "edge"):
                 return F.col(f"`{name}`")["properties"][key], "text"
             return F.col(f"`{name}`")[key], "text"
+        if p.peek("["):
+            return self._looked_up(p, F.col(f"`{name}`")), "value"
         if p.peek(":") and self.names.get(name) == "node":
             p.take(":")
             return F.array_contains(F.col(f"`{name}`")["labels"], p.name()), "value"
-        return F.col(f"`{name}`"), "text" if self.names.get(name) == "text" else "value"
+        return F.col(f"`{name}`"), self.names[name] if self.names.get(name) in ("text", "walk") else "value"
+
+    def _looked_up(self, p: _Parser, items: Column) -> Column:
+        """[i] and [a..b] after a list; places count from 0, below 0 from the end."""
+        while p.take("["):
+            size, a = F.size(items), None if p.peek("..") else self._sum(p)[0].cast("int")
+            from_end = lambda i, n=size: F.when(i < 0, i + n).otherwise(i)
+            if p.take(".."):
+                b = size if p.peek("]") else F.least(from_end(self._sum(p)[0].cast("int")), size)
+                a = F.lit(0) if a is None else F.greatest(from_end(a), F.lit(0))
+                items = F.slice(items, a + 1, F.greatest(b - a, F.lit(0)))
+            else:
+                items = F.get(items, from_end(a))
+            p.need("]")
+        return items
+
+    def _comprehension(self, p: _Parser) -> Column:
+        """[x IN list WHERE test | value]; test and value are expressions of x."""
+        p.need("[")
+        var = p.name()
+        p.need("IN")
+        items, _ = self._sum(p)
+        outer = self.names
+
+        def within(start: int, read) -> tuple:
+            """The expression that starts there as a function of the variable, and where it ended."""
+            ends: list[int] = []
+
+            def of(x: Column) -> Column:
+                p.at, self.names = start, {**outer, var: "value"}
+                self.bound = {**getattr(self, "bound", {}), var: x}
+                out = read()
+                ends.append(p.at)
+                self.names, self.bound = outer, {k: v for k, v in self.bound.items() if k != var}
+                return out
+
+            return of, ends
+
+        if p.take("WHERE"):
+            of, ends = within(p.at, lambda: self._or(p))
+            items = F.filter(items, of)
+            p.at = ends[-1]
+        if p.take("|"):
+            of, ends = within(p.at, lambda: self._sum(p)[0])
+            items = F.transform(items, of)
+            p.at = ends[-1]
+        p.need("]")
+        return items
 
     def _case(self, p: _Parser) -> Column:
         p.need("CASE")
@@ -409,7 +464,8 @@ class Cypher:
             return (F.count_distinct(a) if distinct and f == "count" else _AGGREGATES[f](a)), "number"
         return {
             "id": lambda: (a["id"], "text"), "labels": lambda: (a["labels"], "value"), "type": lambda: (F.get(a["labels"], 0), "text"), "keys": lambda: (F.map_keys(a["properties"]), "value"), "properties": lambda: (a["properties"], "value"),
-            "size": lambda: (F.size(a), "number"), "length": lambda: (F.size(a), "number"), "tolower": lambda: (F.lower(a), "text"), "toupper": lambda: (F.upper(a), "text"), "tointeger": lambda: (a.try_cast("bigint"), "number"), "tofloat": lambda: (a.try_cast("double"), "number"),
+            "size": lambda: (F.size(a), "number"), "length": lambda: (F.size(a["relationships"] if t == "walk" else a), "number"), "relationships": lambda: (a["relationships"] if t == "walk" else a, "value"), "nodes": lambda: (a["nodes"], "value"),
+            "head": lambda: (F.get(a, 0), "value"), "last": lambda: (F.element_at(a, -1), "value"), "range": lambda: (F.sequence(a, args[1][0]), "value"), "reverse": lambda: (F.reverse(a), t), "tolower": lambda: (F.lower(a), "text"), "toupper": lambda: (F.upper(a), "text"), "tointeger": lambda: (a.try_cast("bigint"), "number"), "tofloat": lambda: (a.try_cast("double"), "number"),
             "tostring": lambda: (a.cast("string"), "text"), "abs": lambda: (F.abs(self._number(a, t)), "number"), "coalesce": lambda: (F.coalesce(*[x for x, _ in args]), t), "exists": lambda: (a.isNotNull(), "value"),
             "distance": lambda: (F.hypot(args[0][0]["x"] - args[1][0]["x"], args[0][0]["y"] - args[1][0]["y"]), "number"),
         }[f]()
@@ -444,21 +500,7 @@ class Cypher:
         used: list[str] = []
         for edge, node in zip(parts[1::2], parts[2::2]):
             prev = parts[parts.index(edge) - 1].name
-            variants = []
-            for length in range(edge.least, edge.most + 1):
-                step, at, mine = out, F.col(f"`{prev}`.id"), []
-                for i in range(length):
-                    hop = self._edges(edge).toDF(f"_f{i}", f"_t{i}", f"_e{i}")
-                    on = at == F.col(f"_f{i}")
-                    for u in used:
-                        on = on & ~F.array_contains(F.transform(F.col(f"`{u}`"), lambda x: x["id"]), F.col(f"_e{i}.id"))
-                    for j in range(i):
-                        on = on & (F.col(f"_e{i}.id") != F.col(f"_e{j}.id"))
-                    step = step.join(hop, on)
-                    at, mine = F.col(f"_t{i}"), [*mine, f"_e{i}"]
-                step = step.withColumn("_path", F.array(*mine)).withColumn("_end", at)
-                variants.append(step.drop(*mine, *[f"_{x}{i}" for x in "ft" for i in range(length)]))
-            out = reduce(lambda a, b: a.unionByName(b), variants)
+            out = self._walked(out, prev, edge, used)
             fixed = edge.least == edge.most == 1
             track = f"_used{len(used)}_{edge.name}"
             out = out.withColumn(track, F.col("_path")).withColumn(edge.name, F.get("_path", 0) if fixed else F.col("_path")).drop("_path")
@@ -471,6 +513,26 @@ class Cypher:
                 self.names[node.name] = "node"
         return out.drop(*used)
 
+    def _walked(self, rows: DataFrame, start: str, edge: _Part, used: list[str]) -> DataFrame:
+        """The rows with _path, edges one after another from a node on, and _end, the id of the last one's node. Of any length,
+        a walk goes on while any row has an edge left that it hasn't used; each step is held."""
+        hop = self._edges(edge).toDF("_f", "_t", "_e")
+        none = F.expr(f"CAST(array() AS array<{hop.schema['_e'].dataType.simpleString()}>)")
+        now, found, length = rows.withColumn("_path", none).withColumn("_end", F.col(f"`{start}`.id")), [], 0
+        while True:
+            if length >= edge.least:
+                found.append(now)
+            if length == edge.most or edge.most is None and length and now.isEmpty():
+                break
+            free = ~F.exists("_path", lambda x: x["id"] == F.col("_e.id"))
+            for u in used:
+                free = free & ~F.exists(F.col(f"`{u}`"), lambda x: x["id"] == F.col("_e.id"))
+            step = now.join(hop, F.col("_end") == F.col("_f")).filter(free)
+            now = step.withColumn("_path", F.array_append("_path", F.col("_e"))).withColumn("_end", F.col("_t")).drop("_f", "_t", "_e")
+            now = held(now) if edge.most is None else now
+            length += 1
+        return reduce(lambda a, b: a.unionByName(b), found) if found else now
+
     # Clauses.
 
     def run(self, text: str) -> DataFrame:
@@ -507,16 +569,24 @@ class Cypher:
 
     def _plain(self, p: _Parser, rows):
         while True:
+            name = None
             if p.peek("=", ahead=1):
-                p.at += 2
-            rows = self._match(rows, p.pattern())
+                name = p.name()
+                p.need("=")
+            parts = p.pattern()
+            rows = self._match(rows, parts)
+            if name:  # edges of the whole pattern, and ids of its named nodes
+                steps = [F.array(F.col(f"`{e.name}`")) if self.names[e.name] == "edge" else F.col(f"`{e.name}`") for e in parts[1::2]]
+                ids = F.array(*[F.col(f"`{n.name}`.id") for n in parts[::2]])
+                rows = rows.withColumn(name, F.struct(F.concat(*steps).alias("relationships"), ids.alias("nodes")) if steps else F.struct(F.array().alias("relationships"), ids.alias("nodes")))
+                self.names[name] = "walk"
             if not p.take(","):
                 return rows
 
     def _optional(self, p: _Parser, rows: DataFrame) -> DataFrame:
         """Rows without a match keep nulls for what it would bind."""
         before = dict(self.names)
-        keyed = rows.withColumn("_row", F.xxhash64(*[F.to_json(F.struct(F.col(f"`{n}`"))) for n in before]))
+        keyed = rows.withColumn("_row", F.sha2(F.to_json(F.struct(*[F.col(f"`{n}`") for n in before])), 256))
         found = self._match(keyed, p.pattern())
         if p.take("WHERE"):
             found = found.filter(self._or(p))

@@ -152,19 +152,23 @@ def pig(script: str, tables: Tables, spark: SparkSession) -> DataFrame:
             held[name] = (held[m[1]][0], m[1], [k.strip() for k in m[2].strip("()").split(",")] if m[2] else [])
         elif m := re.fullmatch(r"FOREACH\s+(\w+)\s+(?:\{(.*)GENERATE\s+(.*)\}|GENERATE\s+(.*))", body, re.I | re.S):
             source, inner, items = held[m[1]], m[2], (m[3] or m[4]).strip().rstrip(";")
-            rows = source[0]
+            bags: dict[str, list[str]] = {}
+            rows, grouped = source[0], len(source) > 1
             for step in filter(None, (s.strip() for s in (inner or "").split(";"))):
-                if f := re.fullmatch(r"\w+\s*=\s*FILTER\s+\w+\s+BY\s+(.*)", step, re.I | re.S):
-                    rows = rows.filter(f[1].replace("==", "="))
+                if f := re.fullmatch(r"(\w+)\s*=\s*FILTER\s+(\w+)\s+BY\s+(.*)", step, re.I | re.S):
+                    test = f[3].replace("==", "=")
+                    bags[f[1]] = [*bags.get(f[2], []), test]
+                    rows = rows if grouped else rows.filter(test)
                 elif re.fullmatch(r"\w+\s*=\s*DISTINCT\s+\w+", step, re.I):
                     rows = rows.distinct()
-            held[name] = (_generate(rows, source, items),)
+            held[name] = (_generate(rows, source, items, bags),)
         else:
             raise ValueError(f"cannot read: {line}")
     return held[last][0]
 
 
-def _generate(rows: DataFrame, source: tuple, text: str) -> DataFrame:
+def _generate(rows: DataFrame, source: tuple, text: str, bags: dict[str, list[str]]) -> DataFrame:
+    """The items of a FOREACH. bags: the filters of nested relations; a group stays where its bag is empty."""
     items = [re.fullmatch(r"(.*?)(?:\s+AS\s+(\w+))?", s.strip(), re.I | re.S) for s in re.split(r",(?![^()]*\))", text)]
     if len(source) == 1:
         return rows.select(*[F.expr(m[1]).alias(m[2]) if m[2] else F.expr(m[1]) for m in items])
@@ -177,6 +181,8 @@ def _generate(rows: DataFrame, source: tuple, text: str) -> DataFrame:
             continue
         f, arg = re.fullmatch(r"(\w+)\((.*)\)", m[1]).groups()
         c = F.lit(1) if "." not in arg else F.col(arg.split(".")[1])
+        for test in bags.get(arg.split(".")[0].strip(), []):
+            c = F.when(F.expr(test), c)
         shown = m[2] or f.lower()
         calls.append(_AGGREGATES[f.upper()](c).alias(shown))
         order.append((shown, shown))
@@ -272,7 +278,7 @@ class Plans:
         positional, named = [], {}
         for a in self._split(args):
             k, eq, v = a.partition("=")
-            if eq and re.fullmatch(r"\s*(condition|type|order|limit|offset|group|aggregates|all|entity|projects|names|tuples|path|includes|excludes|distributionType|numbers|model)\s*", k):
+            if eq and re.fullmatch(r"\s*(condition|type|order|limit|offset|group|groups|aggregates|table|operation|targets|sources|docs|id|columns|matches|all|entity|projects|names|tuples|path|includes|excludes|distributionType|numbers|model)\s*", k):
                 named[k.strip()] = v.strip()
             elif a.strip():
                 positional.append(a.strip())
@@ -308,6 +314,31 @@ class Plans:
     def _list(self, text: str) -> list[str]:
         return [s.strip() for s in self._split(text.strip().removeprefix("[").removesuffix("]"))]
 
+    def _dealt(self, df: DataFrame, named: dict) -> DataFrame:
+        """Rows dealt by the columns at the given places (numbers), or by RANGE of them, to one task (SINGLETON), or evenly."""
+        at = [df.columns[int(n)] for n in self._list(named["numbers"])] if named.get("numbers") else []
+        kind = named.get("distributionType", "HASH_DISTRIBUTED" if at else "RANDOM_DISTRIBUTED").upper()
+        if kind.startswith("SINGLETON"):
+            return df.coalesce(1)
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(n) if not at else df.repartitionByRange(n, *at) if kind.startswith("RANGE") else df.repartition(n, *at)
+
+    def _modified(self, rows: DataFrame, named: dict) -> DataFrame:
+        """The table after INSERT of the rows, DELETE of them, or UPDATE: targets = sources in the rows that are given. Rows
+        are told apart by all their columns."""
+        old, how = self.tables(named["table"]), named["operation"].upper()
+        if how == "INSERT":
+            return old.unionByName(rows.toDF(*self._list(named["targets"])) if named.get("targets") else rows, allowMissingColumns=True)
+        keyed = rows.select(*[F.col(c).alias(f"_m_{c}") for c in old.columns]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in old.columns])
+        if how == "DELETE":
+            return old.join(keyed, same, "left_anti")
+        if how == "UPDATE":
+            hit = old.join(keyed.withColumn("_hit", F.lit(True)), same, "left")
+            new = dict(zip(self._list(named["targets"]), self._columns(self._list(named["sources"]))))
+            return hit.select(*[F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in old.columns])
+        raise ValueError(f"unknown operation: {how}")
+
     def _apply(self, op: str, args: list[str], named: dict, inputs: list[DataFrame]) -> DataFrame:
         kind = re.sub(r"^(E|REL|DOC|BINDABLE)_", "", op)
         if op.startswith("LPG_"):
@@ -317,6 +348,10 @@ class Plans:
         first = inputs[0] if inputs else None
         if kind in ("SCAN", "VIEW_SCAN"):
             return self.tables(named.get("entity", args[0] if args else ""))
+        if op == "DOC_VALUES":
+            from weft.operators.doc import Collection, parse_value
+
+            return Collection(self.spark.createDataFrame([], "_id string").select()).of(parse_value(named["docs"] if "docs" in named else args[0]))
         if kind == "VALUES":
             return self.spark.createDataFrame([tuple(_literal(v) for v in self._list(t)) for t in self._list(named["tuples"])], self._list(named["names"]))
         if kind == "FILTER":
@@ -330,8 +365,23 @@ class Plans:
         if kind == "AGGREGATE":
             keys = self._list(named["group"]) if named.get("group") else []
             calls = self._columns(self._list(named["aggregates"]) if "aggregates" in named else args)
+            if named.get("groups"):
+                sets = [self._list(g) if g.strip().startswith("[") else [g] for g in self._list(named["groups"])]
+                keys = list(dict.fromkeys([*keys, *(k for g in sets for k in g)]))
+                return first.groupingSets([[F.col(k) for k in g] for g in sets], *[F.col(k) for k in keys]).agg(*calls)
             return first.groupBy(*keys).agg(*calls) if keys else first.agg(*calls)
-        if kind in ("SORT", "LIMIT", "SORT_EXCHANGE"):
+        if kind == "SORT_EXCHANGE":
+            order = self._list(named["order"]) if named.get("order") else args
+            return self._dealt(first, named).sortWithinPartitions(*ordered([tuple(k.split()) for k in order]))
+        if kind == "MODIFY":
+            return self._modified(first, named)
+        if kind == "CORRELATE":
+            names = ", ".join(inputs[0].columns)
+            inputs[0].createOrReplaceTempView("_weft_left")
+            how = {"INNER": "CROSS JOIN LATERAL", "LEFT": "LEFT JOIN LATERAL"}[named.get("type", "INNER").upper()]
+            on = " ON true" if how.startswith("LEFT") else ""
+            return self.spark.sql(f"SELECT * FROM (SELECT {names} FROM _weft_left) AS {named.get('id', 'outer_')} {how} ({args[0]}) AS inner_{on}")
+        if kind in ("SORT", "LIMIT"):
             order = self._list(named["order"]) if named.get("order") else args
             out = first.orderBy(*ordered([tuple(k.split()) for k in order])) if order else first
             out = out.offset(int(named["offset"])) if "offset" in named else out
@@ -346,7 +396,7 @@ class Plans:
             out = reduce(f, inputs)
             return out.distinct() if kind == "UNION" and not all_ else out
         if kind == "EXCHANGE":
-            return first.repartition(*self._list(named["numbers"])) if "numbers" in named else first.repartition(8)
+            return self._dealt(first, named)
         if kind == "WINDOW":
             return first.select("*", *self._columns(args))
         if kind == "UNWIND":

@@ -63,3 +63,31 @@ _mql("mql_geo_circle", "db.part.find({loc: {$geoWithin: {$center: [[3, 3], 2.5]}
 _mql("mql_geo_near", "db.part.aggregate([{$geoNear: {near: [3, 3], key: 'loc', distanceField: 'dist', maxDistance: 3}}, {$project: {p_partkey: 1, dist: 1}}])", "SELECT p_partkey, round(sqrt(power(p_size % 11 - 3, 2) + power(p_size % 7 - 3, 2)), 8) AS dist FROM part WHERE sqrt(power(p_size % 11 - 3, 2) + power(p_size % 7 - 3, 2)) <= 3", _points, lambda d: d.withColumn("dist", F.round("dist", 8)))
 _mql("mql_json_events", "db.events.aggregate([{$match: {'props.k': {$gte: 50}}}, {$group: {_id: '$event_type', n: {$count: {}}, k: {$sum: '$props.k'}}}])", "SELECT event_type AS _id, count(*) AS n, sum(CAST(props->>'$.k' AS DOUBLE)) AS k FROM events WHERE CAST(props->>'$.k' AS INT) >= 50 GROUP BY 1",
      lambda d: d.withColumn("props", F.from_json("props", "k int")))
+
+_N = "n_nationkey, n_name, n_regionkey"
+_mql("mql_delete_one", "db.nation.deleteOne({n_regionkey: 2, n_nationkey: {$gte: 10}})", f"SELECT {_N} FROM nation WHERE n_nationkey <> (SELECT n_nationkey FROM nation WHERE n_regionkey = 2 AND n_nationkey >= 10 ORDER BY '{{\"n_nationkey\":' || n_nationkey || ',' LIMIT 1)")
+_mql("mql_update_one", "db.nation.updateOne({n_regionkey: 1}, {$set: {n_name: 'one'}, $inc: {n_regionkey: 10}})", "SELECT n_nationkey, CASE WHEN h THEN 'one' ELSE n_name END AS n_name, CASE WHEN h THEN n_regionkey + 10 ELSE n_regionkey END AS n_regionkey FROM (SELECT *, n_nationkey = (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 ORDER BY CAST(n_nationkey AS VARCHAR) || ',' LIMIT 1) AS h FROM nation) AS x")
+_mql("mql_insert", "db.region.insertMany([{r_regionkey: 90, r_name: 'NORTH'}, {r_regionkey: 91, r_name: null, note: 'new'}])", "SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS note FROM region UNION ALL VALUES (90, 'NORTH', NULL), (91, NULL, 'new')")
+_mql("mql_find_one_and_update", "db.nation.findOneAndUpdate({n_regionkey: 3}, {$set: {n_name: 'x'}}, {sort: {n_nationkey: -1}, returnNewDocument: true})", "SELECT n_nationkey, 'x' AS n_name, n_regionkey FROM nation WHERE n_regionkey = 3 ORDER BY n_nationkey DESC LIMIT 1")
+_mql("mql_find_one_and_delete", "db.nation.findOneAndDelete({n_regionkey: 3}, {sort: {n_nationkey: 1}})", "SELECT * FROM nation WHERE n_regionkey = 3 ORDER BY n_nationkey LIMIT 1")
+_mql("mql_find_one_and_replace", "db.nation.findOneAndReplace({n_nationkey: 4}, {n_nationkey: 44, n_name: 'z', n_regionkey: 9}, {returnDocument: 'after'})", "SELECT 44 AS n_nationkey, 'z' AS n_name, 9 AS n_regionkey")
+_mql("mql_find_and_modify", "db.nation.findAndModify({query: {n_nationkey: 4}, update: {$mul: {n_nationkey: 3}}, new: true})", "SELECT 12 AS n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey = 4")
+_mql("mql_upsert", "db.region.updateOne({r_regionkey: 77}, {$set: {r_name: 'FAR'}}, {upsert: true})", "SELECT * FROM region UNION ALL VALUES (77, 'FAR')")
+
+
+def _database(name: str, statements: list[str], sql: str) -> None:
+    """The rows of the last of several statements on the collections nation and region."""
+
+    def run(spark, sf_dir):
+        db, out = doc.Database(spark, {n: table(spark, sf_dir, n) for n in ("nation", "region")}), None
+        for s in statements:
+            out = db.execute(s)
+        return out
+
+    _C.query(name, sql)(run)
+
+
+_database("mql_collections", ["db.createCollection('box')", "db.box.insertOne({_id: 1, a: 'x'})", "db.box.insertMany([{_id: 2, a: 'y', b: {c: 5}}, {_id: 3, a: 'y'}])", "db.box.save({_id: 1, a: 'saved'})", "db.box.updateMany({a: 'y'}, {$set: {a: 'w'}})", "db.box.deleteOne({a: 'w', _id: 3})", "db.box.renameCollection('crate')", "db.crate.find({}, {_id: 1, a: 1, c: '$b.c'})"],
+          "SELECT * FROM (VALUES (1, 'saved', NULL), (2, 'w', 5)) AS t(_id, a, c)")
+_database("mql_show", ["db.createCollection('box')", "db.createView('asia', 'region', [{$match: {r_name: 'ASIA'}}])", "db.region.drop()", "show collections"], "SELECT unnest(['asia', 'box', 'nation']) AS name")
+_database("mql_use", ["use other", "db.createCollection('a')", "use db", "show dbs"], "SELECT unnest(['db', 'other']) AS name")

@@ -39,6 +39,11 @@ _cypher("cypher_two_hops", "MATCH (c:Customer)-[:LIVES]->(n:Nation)-[:IN]->(r:Re
 _cypher("cypher_undirected", "MATCH (a:Nation)-[:IN]-(r:Region)-[:IN]-(b:Nation) WHERE r.r_name = 'AFRICA' RETURN a.n_name AS a, b.n_name AS b", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey JOIN region ON a.n_regionkey = r_regionkey WHERE r_name = 'AFRICA'")
 _cypher("cypher_edge", "MATCH (c:Customer)-[l:LIVES {c_mktsegment: 'MACHINERY'}]->(n:Nation) RETURN n.n_name AS nation, type(l) AS kind, count(l) AS n", "SELECT n_name AS nation, 'LIVES' AS kind, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY' GROUP BY n_name")
 _cypher("cypher_variable_length", "MATCH (c:Customer)-[p*1..2]->(x) RETURN labels(x) AS l, length(p) AS n, count(*) AS m", "SELECT ['Nation'] AS l, 1 AS n, count(*) AS m FROM customer UNION ALL SELECT ['Region'], 2, count(*) FROM customer")
+_cypher("cypher_any_length", "MATCH (c:Customer {c_mktsegment: 'BUILDING'})-[p*]->(x) RETURN labels(x) AS l, length(p) AS n, count(*) AS m", "SELECT ['Nation'] AS l, 1 AS n, count(*) AS m FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT ['Region'], 2, count(*) FROM customer WHERE c_mktsegment = 'BUILDING'")
+_cypher("cypher_length_from", "MATCH (c:Customer)-[p*2..]->(x:Region) RETURN x.r_name AS region, count(*) AS m", "SELECT r_name AS region, count(*) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+_cypher("cypher_length_zero", "MATCH (n:Nation)-[p*0..1]->(x) RETURN n.n_name AS name, length(p) AS n, labels(x) AS l", "SELECT n_name AS name, 0 AS n, ['Nation'] AS l FROM nation UNION ALL SELECT n_name, 1, ['Region'] FROM nation")
+_cypher("cypher_named_path", "MATCH w = (c:Customer)-[:LIVES]->(n:Nation)-[:IN]->(r:Region) WHERE r.r_name = 'ASIA' RETURN c.c_name AS name, length(w) AS n, size(nodes(w)) AS k", "SELECT c_name AS name, 2 AS n, 3 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+_cypher("cypher_comprehension", "MATCH (r:Region) RETURN r.r_name AS name, [x IN [1, 2, 3, 4] WHERE x > 2 AND x <> 4 | x * 10] AS a, [x IN [5, 6] | x + 1] AS b, [1, 2, 3][1] AS c, [1, 2, 3, 4][1..3] AS d, [1, 2, 3][-1] AS e, [1, 2, 3][..2] AS f", "SELECT r_name AS name, [30] AS a, [6, 7] AS b, 2 AS c, [2, 3] AS d, 3 AS e, [1, 2] AS f FROM region")
 _cypher("cypher_distinct_order", "MATCH (s:Supplier)-[:SELLS]->(n:Nation) RETURN DISTINCT n.n_name AS name ORDER BY name DESC SKIP 2 LIMIT 5", "SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY name DESC LIMIT 5 OFFSET 2")
 _cypher("cypher_with", "MATCH (c:Customer)-[:LIVES]->(n:Nation) WITH n, count(c) AS n_customers WHERE n_customers > 60 MATCH (n)-[:IN]->(r:Region) RETURN n.n_name AS nation, r.r_name AS region, n_customers", "SELECT n_name AS nation, r_name AS region, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name HAVING count(*) > 60")
 _cypher("cypher_optional", "MATCH (n:Nation) OPTIONAL MATCH (n)<-[:SELLS]-(s:Supplier) WHERE s.s_acctbal > 9000 RETURN n.n_name AS nation, count(s) AS n", "SELECT n_name AS nation, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY n_name")

@@ -51,7 +51,7 @@ _pig("filter", "A = LOAD 'nation'; B = FILTER A BY n_regionkey == 1; C = FOREACH
 _pig("group", "A = LOAD 'orders'; B = GROUP A BY o_orderstatus; C = FOREACH B GENERATE group AS status, COUNT(A) AS n, MAX(A.o_totalprice) AS hi; DUMP C;", "SELECT o_orderstatus AS status, count(*) AS n, max(o_totalprice) AS hi FROM orders GROUP BY 1")
 _pig("group_all", "A = LOAD 'lineitem'; B = GROUP A ALL; C = FOREACH B GENERATE COUNT(A) AS n, MIN(A.l_quantity) AS lo; DUMP C;", "SELECT count(*) AS n, min(l_quantity) AS lo FROM lineitem")
 _pig("distinct_order", "A = LOAD 'customer'; B = FOREACH A GENERATE c_mktsegment, c_nationkey; C = DISTINCT B; D = ORDER C BY c_nationkey DESC, c_mktsegment; E = LIMIT D 7; DUMP E;", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment LIMIT 7")
-_pig("nested", "A = LOAD 'orders'; B = GROUP A BY o_custkey; C = FOREACH B { D = FILTER A BY o_orderstatus == 'F'; GENERATE group AS c, COUNT(D) AS n; }; DUMP C;", "SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+_pig("nested", "A = LOAD 'orders'; B = GROUP A BY o_custkey; C = FOREACH B { D = FILTER A BY o_orderstatus == 'F'; GENERATE group AS c, COUNT(D) AS n; }; DUMP C;", "SELECT o_custkey AS c, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders GROUP BY 1")
 _pig("values", "A = VALUES (1, 'a'), (2, 'b') AS (id, name); B = FILTER A BY id > 1; DUMP B;", "SELECT 2 AS id, 'b' AS name")
 
 _rest("project", "GET nation?_project=n_name,n_regionkey@region&n_regionkey=>=3&_sort=n_name@DESC&_limit=4&_offset=1", "SELECT n_name, n_regionkey AS region FROM nation WHERE n_regionkey >= 3 ORDER BY n_name DESC LIMIT 4 OFFSET 1")
@@ -68,3 +68,10 @@ _alg("semi", "E_SEMI_JOIN[condition=n_nationkey = s_nationkey](REL_PROJECT[n_nat
 _alg("documents", "DOC_AGGREGATE[group=[event_type], aggregates=[count(*) AS n]](DOC_FILTER[user_id < 50](DOC_SCAN[events]))", "SELECT event_type, count(*) AS n FROM events WHERE user_id < 50 GROUP BY 1")
 _alg("graph", "LPG_MATCH[MATCH (n:Nation)-[:IN]->(r:Region) RETURN r.r_name AS region, count(*) AS n]", "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 _alg("transform", "TRANSFORMER[DOCUMENT](REL_PROJECT[n_nationkey](REL_SCAN[nation]))", "SELECT '{\"n_nationkey\":' || n_nationkey || '}' AS d FROM nation")
+_alg("grouping_sets", "REL_AGGREGATE[group=[n_regionkey, n_name], groups=[[n_regionkey], [n_name], []], aggregates=[count(*) AS n]](REL_SCAN[nation])", "SELECT n_regionkey, n_name, count(*) AS n FROM nation GROUP BY GROUPING SETS ((n_regionkey), (n_name), ())")
+_alg("exchange", "REL_AGGREGATE[group=[k], aggregates=[count(*) AS n, max(v) AS hi]](REL_EXCHANGE[distributionType=HASH_DISTRIBUTED, numbers=[0]](REL_SORT_EXCHANGE[order=[v DESC], numbers=[1, 0], distributionType=RANGE_DISTRIBUTED](REL_PROJECT[o_custkey AS k, o_totalprice AS v](REL_SCAN[orders]))))", "SELECT o_custkey AS k, count(*) AS n, max(o_totalprice) AS hi FROM orders GROUP BY 1")
+_alg("modify_insert", "REL_MODIFY[table=region, operation=INSERT, targets=[r_regionkey, r_name]](REL_VALUES[names=[a, b], tuples=[[50, 'X'], [51, 'Y']]])", "SELECT * FROM region UNION ALL VALUES (50, 'X'), (51, 'Y')")
+_alg("modify_update", "REL_MODIFY[table=nation, operation=UPDATE, targets=[n_name], sources=[upper(concat('r', n_regionkey))]](REL_FILTER[n_regionkey < 2](REL_SCAN[nation]))", "SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN 'R' || n_regionkey ELSE n_name END AS n_name, n_regionkey FROM nation")
+_alg("modify_delete", "REL_MODIFY[table=nation, operation=DELETE](REL_FILTER[n_regionkey = 3](REL_SCAN[nation]))", "SELECT * FROM nation WHERE n_regionkey <> 3")
+_alg("correlate", "REL_CORRELATE[(SELECT c.n_nationkey * 2 AS twice WHERE c.n_regionkey > 1), id=c, type=LEFT](REL_SCAN[nation])", "SELECT n_nationkey, n_name, n_regionkey, CASE WHEN n_regionkey > 1 THEN n_nationkey * 2 END AS twice FROM nation")
+_alg("document_values", "DOC_PROJECT[_id, a](DOC_VALUES[docs=[{_id: 1, a: 'x'}, {_id: 2, a: null}]])", "SELECT * FROM (VALUES (1, 'x'), (2, NULL)) AS t(_id, a)")

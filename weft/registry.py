@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("weft.plans.relational", "weft.plans.functions", "weft.plans.flow", "weft.plans.documents", "weft.plans.graphs", "weft.plans.languages", "weft.plans.streams", "weft.plans.geometry", "weft.plans.dialect")
+MODULES = ("weft.plans.relational", "weft.plans.functions", "weft.plans.flow", "weft.plans.documents", "weft.plans.graphs", "weft.plans.languages", "weft.plans.streams", "weft.plans.geometry", "weft.plans.dialect", "weft.plans.statements")
 
 
 def _gather(name: str) -> dict:
