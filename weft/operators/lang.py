@@ -124,9 +124,10 @@ class Cql:
 # Dataflow scripts.
 
 
-def pig(script: str, tables: Tables, spark: SparkSession) -> DataFrame:
+def pig(script: str, tables: Tables, spark: SparkSession, empty_bags: bool = False) -> DataFrame:
     """LOAD, FILTER BY, FOREACH GENERATE, DISTINCT, ORDER BY, LIMIT, GROUP BY or ALL, VALUES and DUMP. A grouped relation has
-    `group` and functions over its bag (COUNT(a), SUM(a.x), …) in the FOREACH that follows."""
+    `group` and functions over its bag (COUNT(a), SUM(a.x), …) in the FOREACH that follows. empty_bags: a group whose nested FILTER
+    leaves nothing stays, with a count of 0; otherwise it goes."""
     held: dict[str, tuple] = {}
     last = None
     for line in filter(None, (s.strip() for s in re.split(r";(?![^{}]*\})", script))):
@@ -157,8 +158,10 @@ def pig(script: str, tables: Tables, spark: SparkSession) -> DataFrame:
             for step in filter(None, (s.strip() for s in (inner or "").split(";"))):
                 if f := re.fullmatch(r"(\w+)\s*=\s*FILTER\s+(\w+)\s+BY\s+(.*)", step, re.I | re.S):
                     test = f[3].replace("==", "=")
-                    bags[f[1]] = [*bags.get(f[2], []), test]
-                    rows = rows if grouped else rows.filter(test)
+                    if grouped and empty_bags:
+                        bags[f[1]] = [*bags.get(f[2], []), test]
+                    else:
+                        rows = rows.filter(test)
                 elif re.fullmatch(r"\w+\s*=\s*DISTINCT\s+\w+", step, re.I):
                     rows = rows.distinct()
             held[name] = (_generate(rows, source, items, bags),)
@@ -168,7 +171,7 @@ def pig(script: str, tables: Tables, spark: SparkSession) -> DataFrame:
 
 
 def _generate(rows: DataFrame, source: tuple, text: str, bags: dict[str, list[str]]) -> DataFrame:
-    """The items of a FOREACH. bags: the filters of nested relations; a group stays where its bag is empty."""
+    """The items of a FOREACH. bags: the filters of nested relations that keep their groups."""
     items = [re.fullmatch(r"(.*?)(?:\s+AS\s+(\w+))?", s.strip(), re.I | re.S) for s in re.split(r",(?![^()]*\))", text)]
     if len(source) == 1:
         return rows.select(*[F.expr(m[1]).alias(m[2]) if m[2] else F.expr(m[1]) for m in items])

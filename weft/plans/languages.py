@@ -24,7 +24,7 @@ def _cql(name, text, sql, finish=None):
 
 
 def _pig(name, text, sql, finish=None):
-    _add(f"pig_{name}", text, sql, lambda t, tables, spark, d: lang.pig(t, tables, spark), finish)
+    _add(f"pig_{name}", text, sql, lambda t, tables, spark, d: lang.pig(t, tables, spark, empty_bags=True), finish)
 
 
 def _rest(name, text, sql, finish=None):
