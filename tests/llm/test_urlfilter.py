@@ -54,3 +54,12 @@ def test_no_rows_and_no_rules(spark):
     assert result(spark, [], RULES) == ({}, 0)
     check(spark, ["http://a.net/"], [])
     assert result(spark, ["http://a.net/"], [(None, "/", "block"), ("", "", "block"), ("net", None, "block")])[0][0][2:] == ("net", "block")
+
+
+def test_clashing_columns_long_and_repeated_rows(spark):
+    """Extra columns with the names of the result's, very long urls and repeated rows, as each row alone is judged."""
+    long = "http://a.example.net/en/" + "x" * 100_000
+    rows = [(1, long, "r", "h"), (1, long, "r", "h"), (2, "http://b.org/fr/x", "r", "h"), (None, None, "r", "h"), (3, "", None, None)]
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")], "host string, path string, action string")
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, rule string, host string"), rules).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r["verdict"]) for r in got) == [(False, 1, "allow"), (False, 1, "allow"), (False, 2, "allow"), (False, 3, "allow"), (True, 0, "allow")]
