@@ -44,3 +44,11 @@ def geo_predicates(spark, sf_dir):
     s = geo.st
     return _shapes(spark, sf_dir).select("n_nationkey", s("INTERSECTS", "p", "base").alias("inter"), s("DISJOINT", "p", "base").alias("disj"), s("WITHIN", "p", "base").alias("within"), s("TOUCHES", "p", "base").alias("touch"), s("COVERS", "base", "p").alias("cov"),
         s("CONTAINS", "base", "g").alias("contains"), s("EQUALS", "base", "g").alias("eq"), s("DISTANCE", "p", "base").alias("dist"), s("DWITHIN", "p", "base", 2).alias("near"), s("AREA", s("INTERSECTION", "g", "base")).alias("shared"), s("OVERLAPS", "g", "base").alias("over"))
+
+
+@query("geo_overlays", f"""SELECT n_nationkey, CAST(w * h + 18 - least(w, 6) * least(h, 3) AS DOUBLE) AS either, CAST(w * h - least(w, 6) * least(h, 3) AS DOUBLE) AS first_, CAST(w * h + 18 - 2 * least(w, 6) * least(h, 3) AS DOUBLE) AS one,
+CAST(least(w, 6) + CASE WHEN w <= 6 THEN least(h, 3) ELSE 0 END AS DOUBLE) AS inside, CAST(greatest(w - 2, 0) * greatest(h - 2, 0) AS DOUBLE) AS within FROM {_N}""")
+def geo_overlays(spark, sf_dir):
+    s = geo.st
+    return _shapes(spark, sf_dir).select("n_nationkey", s("AREA", s("UNION", "g", "base")).alias("either"), s("AREA", s("DIFFERENCE", "g", "base")).alias("first_"), s("AREA", s("SYMDIFFERENCE", "g", "base")).alias("one"),
+        s("LENGTH", s("INTERSECTION", "l", "base")).alias("inside"), s("AREA", s("BUFFER", "g", -1)).alias("within"))
