@@ -215,3 +215,26 @@ def test_all_rows_with_exclusion_are_refused(spark):
     df = spark.createDataFrame([("a", 1)], "k string, i int")
     with pytest.raises(NotImplementedError):
         matching.match_recognize(df, ["k"], ["i"], {"A": F.col("i") > 0}, "A {- A -}", {}, "k string, i int", all_rows=True)
+
+
+def test_carried_over_ranges(spark):
+    df = spark.range(400).repartition(5).select("id", F.when(F.col("id") % 17 == 5, F.col("id")).alias("v"))
+    for how, at in (("PREVIOUS", lambda i: range(i, -1, -1)), ("NEXT", lambda i: range(i, 400))):
+        got = {x.id: x.v for x in flow.impute(df, ["v"], how, order=["id"]).collect()}
+        assert got == {i: next((j for j in at(i) if j % 17 == 5), None) for i in range(400)}
+    known = spark.createDataFrame([(i, f"x{i}") for i in range(3, 300, 50)], "k long, name string")
+    for how in ("SMALLER", "LARGER"):
+        got = {x.id: x.name for x in flow.lookup(df.select("id"), known, [], ["name"], how, ("id", "k")).collect()}
+        ks = [k for k in range(3, 300, 50)]
+        assert got == {i: f"x{(max if how == 'SMALLER' else min)(fit)}" if (fit := [k for k in ks if (k <= i if how == "SMALLER" else k >= i)]) else None for i in range(400)}
+
+
+def test_graph_of_tables(spark):
+    """What a query reads decides what is scanned; whole nodes have no null entries."""
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "y")], "k int, s string, t string")
+    ref = lambda c: F.concat(F.lit("N:"), F.col(c).cast("string"))
+    g = graph.Graph.of_rows([(df, "N", "k")], [graph.edge_rows(df, "E", ref("k"), F.lit("N:1"))])
+    assert sorted(map(tuple, graph.run(g, "MATCH (n:N) RETURN n.s AS s, size(keys(n)) AS m").collect())) == [("a", 2), ("b", 3)]
+    assert sorted(map(tuple, graph.run(g, "MATCH (a:N)-[e:E]->(b) WHERE a.t IS NULL OR a.t = 'y' RETURN a.s AS x, b.s AS y, count(b) AS n").collect())) == [("a", "a", 1), ("b", "a", 1)]
+    assert [x.s for x in graph.run(g, "MATCH (n:N) WITH n, count(*) AS m WHERE m = 1 RETURN n.s AS s ORDER BY s").collect()] == ["a", "b"]
+    assert graph.run(g, "MATCH (a)-[:E]->(b)-[:E]->(c) RETURN a.k AS a, c.k AS c").collect() == [("2", "1")] and graph.run(g, "MATCH (n) RETURN *").first().n["properties"].get("t", "none") in ("none", "y")

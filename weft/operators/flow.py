@@ -159,6 +159,21 @@ def positions(df: DataFrame, order: list, start: int = 0) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_range").withColumn("_pos", F.col("_start") + F.col("_id") - F.col("_first")).drop("_range", "_id", "_first", "_start")
 
 
+def carried(df: DataFrame, targets: list[str], order: list, back: bool = False) -> DataFrame:
+    """Nulls filled from the last row before in the order (back: the next one) that has a value. Sorted ranges fill their own
+    rows; what a range's first rows need comes from the last values of the ranges before, one row each."""
+    from weft.sources.scratch import held
+
+    names = {t: f"_c{i}" for i, t in enumerate(targets)}
+    ranged = held(df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    ends = [(F.min_by if back else F.max_by)(t, F.when(F.col(t).isNotNull(), F.col("_id"))).alias(n) for t, n in names.items()]
+    span = Window.orderBy(F.desc("_range") if back else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_range").agg(*ends).select("_range", *[F.last(n, True).over(span).alias(n) for n in names.values()])
+    own = Window.partitionBy("_range").orderBy(F.desc("_id") if back else F.asc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(before), "_range")  # a row for each range
+    return out.withColumns({t: F.coalesce(F.last(t, True).over(own), F.col(n)) for t, n in names.items()}).select(*df.columns)
+
+
 def surrogate_key(df: DataFrame, name: str, order: list | None = None, start: int = 0) -> DataFrame:
     """Counted from start in the given order, or a random uuid."""
     if order is None:
@@ -226,6 +241,8 @@ def impute(df: DataFrame, targets: list[str], how: str, value=None, lookup: str
     if how == "STATISTIC":
         stats = df.agg(*[_AGGREGATES[value.upper()](t).alias(f"_s_{t}") for t in targets])  # one row
         return df.join(F.broadcast(stats)).withColumns({t: F.coalesce(F.col(t), F.col(f"_s_{t}").cast(df.schema[t].dataType)) for t in targets}).drop(*stats.columns)
+    if how in ("PREVIOUS", "NEXT") and not keys:
+        return carried(df, targets, order, how == "NEXT")
     w = Window.partitionBy(*keys).orderBy(*order)
     if how == "PREVIOUS":
         return df.withColumns({t: F.last(t, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for t in targets})
@@ -267,6 +284,10 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], add:
     l = left.select(*key, F.col(at_l).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.select(F.struct(*add)).schema[0].dataType).alias("_r"))
     best = right.groupBy(*rk, at_r).agg(F.min_by(F.struct(*add), F.struct(*[col(o) for o in (order or add)])).alias("_r"))
     r = best.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(rk)], F.col(at_r).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), "_r")
+    if not keys:
+        both = l.unionByName(r).withColumn("_f", F.col("_r"))
+        found = carried(both, ["_f"], ["_at" if how.upper() == "SMALLER" else F.desc("_at"), "_side"])
+        return found.filter("_side = 1").select("_l.*", *[F.col(f"_f.{c}").alias(c) for c in add])
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
     if how.upper() == "SMALLER":
         found = F.last("_r", True).over(w.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))

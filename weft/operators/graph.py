@@ -3,6 +3,9 @@
 nodes: id, labels (array), properties (map of texts); edges: id, source, target, labels, properties. A pattern is a chain of
 equi-joins of edges with nodes; no edge is used twice within a pattern. A variable-length relationship is a union of chains
 of fixed lengths.
+
+A query that names some properties of a node only reads these: a graph of tables (Graph.of_rows) has its maps built after the
+labels are chosen, so Catalyst drops the other tables and columns and pushes tests of texts into the scan.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql import functions as F
 from weft.sources.scratch import held
 
 
-def node_rows(df: DataFrame, label: str, key: str, id_prefix: str | None = None) -> DataFrame:
-    """Each row as a node: its columns are the properties, the table's name the label."""
+def node_rows(df: DataFrame, label: str, key: str, id_prefix: str | None = None, nulls: bool = False) -> DataFrame:
+    """Each row as a node: its columns are the properties, the table's name the label. nulls: missing values are entries too."""
     props = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(c).cast("string"))])
-    return df.select(F.concat(F.lit(f"{id_prefix or label}:"), F.col(key).cast("string")).alias("id"), F.array(F.lit(label)).alias("labels"), F.map_filter(props, lambda k, v: v.isNotNull()).alias("properties"))
+    props = props if nulls else F.map_filter(props, lambda k, v: v.isNotNull())
+    return df.select(F.concat(F.lit(f"{id_prefix or label}:"), F.col(key).cast("string")).alias("id"), F.array(F.lit(label)).alias("labels"), props.alias("properties"))
 
 
 def edge_rows(df: DataFrame, label: str, source: Column, target: Column, properties: list[str] = ()) -> DataFrame:
@@ -32,6 +36,13 @@ def edge_rows(df: DataFrame, label: str, source: Column, target: Column, propert
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    wide: DataFrame | None = None  # of a graph of tables, whose edges have one label each: the nodes, nulls being entries too
+
+    @classmethod
+    def of_rows(cls, nodes: list[tuple[DataFrame, str, str]], edges: list[DataFrame]) -> Graph:
+        """Tables as nodes (rows, label, key), and frames of edge_rows."""
+        wide = reduce(DataFrame.union, [node_rows(*n, nulls=True) for n in nodes])
+        return cls(wide.withColumn("properties", F.map_filter("properties", lambda k, v: v.isNotNull())), reduce(DataFrame.union, edges), wide)
 
     def union(self, other: Graph) -> Graph:
         return Graph(self.nodes.unionByName(other.nodes), self.edges.unionByName(other.edges))
@@ -231,6 +242,7 @@ class Cypher:
 
     def __init__(self, graph: Graph):
         self.graph = graph
+        self.uses: dict[str, set | None] = {}  # variable -> properties read of it, None for all
         self.names: dict[str, str] = {}  # variable -> node, edge, path or value
 
     # Expressions, lowest first.
@@ -472,12 +484,36 @@ class Cypher:
 
     # Patterns.
 
+    @staticmethod
+    def _used(tokens: list[tuple[str, str]]) -> dict[str, set | None]:
+        """The properties that a query reads of each variable, None where it may need them all: where the variable stands by
+        itself, but in a pattern, with a label, or in a call that asks for none."""
+        at = lambda i: tokens[i] if 0 <= i < len(tokens) else ("", "")
+        everything = any(v == "*" and at(i - 1)[1].upper() in ("RETURN", "WITH", "DISTINCT") for i, (_, v) in enumerate(tokens))
+        uses: dict[str, set | None] = {}
+        for i, (kind, name) in enumerate(tokens):
+            if kind != "id" or at(i - 1)[1] == ".":
+                continue
+            after, before = at(i + 1)[1], at(i - 1)[1]
+            if after == "." and at(i + 2)[0] == "id":
+                if uses.setdefault(name, set()) is not None:
+                    uses[name].add(at(i + 2)[1])
+                continue
+            called = before == "(" and at(i - 2)[0] == "id" and at(i - 2)[1].upper() not in ("MATCH", "EXISTS")
+            free = at(i - 2)[1].lower() in ("count", "id", "labels") and after == ")" if called else before == "(" and after in (")", ":", "{") or after == ":"
+            uses[name] = uses.get(name, set()) if free and not everything else None
+        return uses
+
     def _node(self, part: _Part) -> DataFrame:
-        n = self.graph.nodes
+        read = self.uses.get(part.name, set())
+        n = self.graph.nodes if self.graph.wide is None or read is None else self.graph.wide
         for label in part.labels:
             n = n.filter(F.array_contains("labels", label))
         for k, v in part.properties.items():
             n = n.filter(F.col("properties")[k] == str(v))
+        if read is not None:
+            some = [x for k in sorted(read) for x in (F.lit(k), F.col("properties")[k])]
+            n = n.withColumn("properties", F.create_map(*some) if some else F.create_map().cast("map<string,string>"))
         return n.select(F.struct("id", "labels", "properties").alias(part.name))
 
     def _edges(self, part: _Part) -> DataFrame:
@@ -497,23 +533,38 @@ class Cypher:
             n = self._node(first)
             out = n if out is None else out.join(n)
             self.names[first.name] = "node"
-        used: list[str] = []
-        for edge, node in zip(parts[1::2], parts[2::2]):
-            prev = parts[parts.index(edge) - 1].name
-            out = self._walked(out, prev, edge, used)
+        used: list[tuple[str, _Part]] = []
+        for i in range(1, len(parts), 2):
+            prev, edge, node = parts[i - 1].name, parts[i], parts[i + 1]
             fixed = edge.least == edge.most == 1
+            out = self._hopped(out, prev, edge, used) if fixed else self._walked(out, prev, edge, used)
             track = f"_used{len(used)}_{edge.name}"
-            out = out.withColumn(track, F.col("_path")).withColumn(edge.name, F.get("_path", 0) if fixed else F.col("_path")).drop("_path")
-            used.append(track)
+            out = out.withColumn(track, F.col("_path")).withColumn(edge.name, F.col("_path")).drop("_path")
+            used.append((track, edge))
             self.names[edge.name] = "edge" if fixed else "path"
             if node.name in self.names:
                 out = out.filter(F.col(f"`{node.name}`.id") == F.col("_end")).drop("_end")
             else:
                 out = out.join(self._node(node), F.col("_end") == F.col(f"`{node.name}`.id")).drop("_end")
                 self.names[node.name] = "node"
-        return out.drop(*used)
+        return out.drop(*[track for track, _ in used])
+
+    def _free(self, edge: _Part, used: list[tuple[str, _Part]], id_: Column) -> Column:
+        """Whether the pattern hasn't used this edge yet; edges of one label each can't be those of other labels."""
+        out = F.lit(True)
+        for track, other in used:
+            if self.graph.wide is not None and edge.labels and other.labels and not set(edge.labels) & set(other.labels):
+                continue
+            before = F.col(f"`{track}`")
+            out = out & (before["id"] != id_ if other.least == other.most == 1 else ~F.exists(before, lambda x: x["id"] == id_))
+        return out
+
+    def _hopped(self, rows: DataFrame, start: str, edge: _Part, used: list[tuple[str, _Part]]) -> DataFrame:
+        """The rows with _path, one edge from a node on, and _end, the id of the node there."""
+        hop = self._edges(edge).toDF("_f", "_end", "_path")
+        return rows.join(hop, F.col(f"`{start}`.id") == F.col("_f")).drop("_f").filter(self._free(edge, used, F.col("_path.id")))
 
-    def _walked(self, rows: DataFrame, start: str, edge: _Part, used: list[str]) -> DataFrame:
+    def _walked(self, rows: DataFrame, start: str, edge: _Part, used: list[tuple[str, _Part]]) -> DataFrame:
         """The rows with _path, edges one after another from a node on, and _end, the id of the last one's node. Of any length,
         a walk goes on while any row has an edge left that it hasn't used; each step is held."""
         hop = self._edges(edge).toDF("_f", "_t", "_e")
@@ -524,9 +575,7 @@ class Cypher:
                 found.append(now)
             if length == edge.most or edge.most is None and length and now.isEmpty():
                 break
-            free = ~F.exists("_path", lambda x: x["id"] == F.col("_e.id"))
-            for u in used:
-                free = free & ~F.exists(F.col(f"`{u}`"), lambda x: x["id"] == F.col("_e.id"))
+            free = ~F.exists("_path", lambda x: x["id"] == F.col("_e.id")) & self._free(edge, used, F.col("_e.id"))
             step = now.join(hop, F.col("_end") == F.col("_f")).filter(free)
             now = step.withColumn("_path", F.array_append("_path", F.col("_e"))).withColumn("_end", F.col("_t")).drop("_f", "_t", "_e")
             now = held(now) if edge.most is None else now
@@ -544,6 +593,7 @@ class Cypher:
                 out = out if all_ else out.distinct()
             return out
         p, rows = _Parser(text), None
+        self.uses = self._used(p.tokens)
         while p.at < len(p.tokens):
             if p.take("USE"):
                 p.name()

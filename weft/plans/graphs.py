@@ -16,11 +16,13 @@ def star(spark, sf_dir) -> G.Graph:
     """Nodes are rows, edges foreign keys."""
     t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier")}
     ref = lambda label, c: F.concat(F.lit(f"{label}:"), F.col(c).cast("string"))
-    nodes = G.node_rows(t["region"], "Region", "r_regionkey").union(G.node_rows(t["nation"], "Nation", "n_nationkey")).union(G.node_rows(t["customer"], "Customer", "c_custkey")).union(G.node_rows(t["supplier"], "Supplier", "s_suppkey"))
-    edges = G.edge_rows(t["nation"], "IN", ref("Nation", "n_nationkey"), ref("Region", "n_regionkey"))
-    edges = edges.union(G.edge_rows(t["customer"], "LIVES", ref("Customer", "c_custkey"), ref("Nation", "c_nationkey"), ["c_mktsegment"]))
-    edges = edges.union(G.edge_rows(t["supplier"], "SELLS", ref("Supplier", "s_suppkey"), ref("Nation", "s_nationkey")))
-    return G.Graph(nodes, edges)
+    nodes = [(t["region"], "Region", "r_regionkey"), (t["nation"], "Nation", "n_nationkey"), (t["customer"], "Customer", "c_custkey"), (t["supplier"], "Supplier", "s_suppkey")]
+    edges = [
+        G.edge_rows(t["nation"], "IN", ref("Nation", "n_nationkey"), ref("Region", "n_regionkey")),
+        G.edge_rows(t["customer"], "LIVES", ref("Customer", "c_custkey"), ref("Nation", "c_nationkey"), ["c_mktsegment"]),
+        G.edge_rows(t["supplier"], "SELLS", ref("Supplier", "s_suppkey"), ref("Nation", "s_nationkey")),
+    ]
+    return G.Graph.of_rows(nodes, edges)
 
 
 def _cypher(name: str, text: str, sql: str, finish=None) -> None:
