@@ -82,3 +82,10 @@ def test_hits_of_one_short_item_do_not_condemn(spark):
     docs = spark.createDataFrame([(1, "red fox " + "then red fox " * 7), (2, "so on " * 20 + "one two three four five six seven eight")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red fox"), (2, "one two three four five six seven eight")], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()] == [1]
+
+
+def test_rows_without_an_id_are_judged_by_text(spark):
+    item = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(None, item, "a"), (None, "clean text", "b"), (1, "clean as well", "c"), (1, item, "d"), (1, item, "e"), (None, None, "f")], "doc_id long, text string, th_ string")
+    kept = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["th_"] for r in kept.collect()) == ["b", "c", "f"] and kept.columns == docs.columns

@@ -82,8 +82,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     return _contained(docs, benchmark, window).drop("whole")
 
 
-def _contained(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The columns of contained, and whole: whether a window of that many words is there."""
+def _contained(docs: DataFrame, benchmark: DataFrame, window: int, *more: str) -> DataFrame:
+    """The columns of contained, and whole: whether a window of that many words is there; more: th, the text's hash."""
     spark = docs.sparkSession
     words = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w"))
     windows = checkpoint(windows_of(benchmark, "item_id", "text", window))
@@ -120,7 +120,7 @@ def _contained(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         lambda a: a["n"],
     )
     return grouped.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", *more, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"), "whole",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
@@ -128,8 +128,8 @@ def _contained(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs with no whole window of WINDOW words of any item and windows of less than two items, with their
-    columns. Hits on short items alone, which chance can make, don't condemn a document unless there are two. Rows that
-    share an id (or have none) share its fate."""
-    name = free_name(docs, "gone")
-    gone = _contained(docs, benchmark, WINDOW).filter(F.col("contaminated") | F.col("whole")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    columns. Hits on short items alone, which chance can make, don't condemn a document unless there are two. Each text
+    counts by itself: of rows that share an id, or have none, those with another text stay."""
+    id_, th_ = free_name(docs, "id_"), free_name(docs, "th_")
+    gone = _contained(docs, benchmark, WINDOW, "th").filter(F.col("contaminated") | F.col("whole")).select(F.col("doc_id").alias(id_), F.col("th").alias(th_)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(th_)), "left_anti")
