@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages, each over all that its predecessor kept.
+
+Every stage takes and gives any columns besides doc_id and text, in their order, and an empty table gives an empty one. Null
+and empty texts are scored like any other; they have no shingles, sentences or benchmark words, so the later stages keep
+them, and they encode to no tokens. Null ids are ids like others, but rows without one are never dropped as copies of each
+other. Rows equal in doc_id and text share their decision; what ties decide is said at each stage. Long texts are processed
+whole."""
 
 from __future__ import annotations
 
@@ -10,22 +16,27 @@ from weft.llm.common import checkpoint, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go: those whose score is below its threshold. Every row of a labelled
+    doc_id is an example, of several labels the greatest counts; with less than two examples of a class nothing goes."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join stays: the one with the smallest doc_id."""
+    """One document of each component of the n-gram Jaccard join stays: the one with the smallest doc_id, one row of it where
+    several have that id. Documents without words are in no component with others and stay."""
     return setjoin.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences of repeated spans go from all documents but the first; n_chars follows the text."""
+    """Sentences of repeated spans go from all places but the first, in other documents and in the same one, where 25 words in
+    a row at least are repeated; the first place has the least (doc_id, hash of the text, position), null ids first. n_chars
+    follows the text; a document may be left with an empty text, never without its row."""
     return substring.cut_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go: a whole window of 8 words of an item, or windows of two items. An empty
+    benchmark or one of null texts drops nothing."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
