@@ -128,6 +128,25 @@ def test_materialized_view(spark, tmp_path):
     assert v.read().count() == 3 and v.refresh().read().count() == 5
 
 
+def test_materialized_view_versions(spark, tmp_path):
+    folder = f"{tmp_path}/view"
+    first = windows.MaterializedView(spark, lambda: spark.range(1), folder, keep=1)
+    assert first.version == 0 and first.refresh().version == 1
+    other = windows.MaterializedView(spark, lambda: spark.range(2), folder, keep=1)  # as in a later session
+    assert other.read().count() == 1 and other.refresh().version == 2
+    assert first.read().count() == 2 and not (tmp_path / "view" / "v1").exists()
+    (tmp_path / "view" / "v9").mkdir()  # a write that was broken off
+    assert first.version == 2 and first.read().count() == 2
+
+
+def test_statistics_of_odd_columns(spark):
+    df = spark.createDataFrame([(None, "x", 1.5, [1]), (None, None, 1.5, [2]), (None, "a", None, None)], "a int, `b.c` string, d double, e array<int>")
+    got = {r.name: tuple(r)[1:] for r in ddl.statistics(df).collect()}
+    assert got == {"a": (3, 3, 0, None, None), "b.c": (3, 1, 2, "a", "x"), "d": (3, 1, 1, "1.5", "1.5")}
+    assert all(tuple(r)[1:] == (0, 0, 0, None, None) for r in ddl.statistics(df.limit(0)).collect())
+    with pytest.raises(ValueError, match="simple type"):
+        ddl.statistics(df.select("e"))
+
 def test_documents(spark):
     rows = [{"_id": 1, "a": {"b": 1}, "t": ["x", "y"]}, {"_id": 2, "a": {"b": None}, "t": []}]
     df = spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))

@@ -6,6 +6,7 @@ A table is parquet in the session's catalogue. A change reads the current versio
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,7 +193,17 @@ def rest_change(catalogue: Catalogue, request: str, rows: DataFrame | None = Non
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """One row a column: rows, nulls, distinct values, least and greatest value as text; one pass."""
+    """One row a column: rows, nulls, distinct values, least and greatest value as text. Each column is read by itself and
+    counted by value first, so no row is multiplied by the number of columns."""
     simple = [f.name for f in df.schema.fields if f.dataType.simpleString().split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "string", "date", "timestamp", "timestamp_ntz", "boolean")]
-    calls = [F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) - F.count(c)).alias("n_null"), F.count_distinct(F.col(c)).alias("n_distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")).alias(f"_{i}") for i, c in enumerate(simple)]
-    return df.agg(*calls).select(F.explode(F.array(*[f"_{i}" for i in range(len(simple))])).alias("s")).select("s.*")
+    if not simple:
+        raise ValueError("no column of a simple type")
+    none = F.lit(0).cast("long")
+    each = []
+    for c in simple:
+        values = df.select(F.col(f"`{c}`").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        each.append(values.agg(
+            F.coalesce(F.sum("n"), none).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), none).alias("n_null"),
+            F.count("v").alias("n_distinct"), F.min("v").cast("string").alias("least"), F.max("v").cast("string").alias("greatest"),
+        ).select(F.lit(c).alias("name"), "*"))
+    return reduce(DataFrame.unionByName, each)

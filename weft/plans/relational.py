@@ -115,6 +115,38 @@ sql("tpch_q22", """
 SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer
 WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY c_nationkey""")
+# Parts by supplier, with the least price and all quantity of their lines, since these tables have no such relation.
+_PARTSUPP = """WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost,
+  sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+sql("tpch_q2", f"""{_PARTSUPP}
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, partsupp, nation, region
+WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size <= 15 AND p_type = 'STANDARD' AND s_nationkey = n_nationkey
+  AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
+  AND ps_supplycost = (SELECT min(ps_supplycost) FROM partsupp, supplier, nation, region
+    WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""")
+sql("tpch_q9", f"""{_PARTSUPP}
+SELECT nation, o_year, round(sum(amount), 0) AS sum_profit FROM (
+  SELECT n_name AS nation, CAST(extract(year FROM o_orderdate) AS INT) AS o_year,
+         l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity AS amount
+  FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+  JOIN partsupp ON ps_suppkey = l_suppkey AND ps_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey
+  JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%ring%') AS profit
+GROUP BY nation, o_year""")
+sql("tpch_q11", f"""{_PARTSUPP}, held AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS worth
+  FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 3)
+SELECT ps_partkey, round(sum(worth), 2) AS total FROM held GROUP BY ps_partkey
+HAVING sum(worth) > (SELECT sum(worth) * 0.001 FROM held)""")
+sql("tpch_q16", f"""{_PARTSUPP}
+SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp JOIN part ON p_partkey = ps_partkey
+WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49)
+  AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+GROUP BY p_brand, p_type, p_size""")
+sql("tpch_q20", f"""{_PARTSUPP}
+SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 AND s_suppkey IN (
+  SELECT ps_suppkey FROM partsupp WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'small%')
+    AND ps_availqty < 2 * (SELECT sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey
+      AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1998-01-01 00:00:00'))""")
 
 # Joins.
 sql("join_inner", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")

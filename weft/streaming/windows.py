@@ -4,6 +4,8 @@ append mode.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,14 +61,32 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFram
 
 class MaterializedView:
     """A query whose result is kept as parquet and made anew on refresh; each refresh is a new version, so readers of the
-    last one aren't disturbed."""
-
-    def __init__(self, spark: SparkSession, build, folder: str):
-        self.spark, self.build, self.folder, self.version = spark, build, folder, 0
+    last one aren't disturbed. Versions are found in the folder, so sessions follow one another's; all but the last keep of
+    them are removed. A version counts once it is written whole. One session refreshes at a time."""
+
+    def __init__(self, spark: SparkSession, build, folder: str, keep: int = 2):
+        if keep < 1:
+            raise ValueError("keep at least one version")
+        self.spark, self.build, self.folder, self.keep = spark, build, folder, keep
+
+    def _versions(self) -> list[tuple[int, object]]:
+        """(number, path) of the whole versions, in order."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        numbered = [(int(p.getName()[1:]), p) for p in found if re.fullmatch(r"v[0-9]+", p.getName())]
+        whole = [(n, p) for n, p in numbered if self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(whole, key=lambda v: v[0])
+
+    @property
+    def version(self) -> int:
+        """The last version, 0 where there is none."""
+        return max((n for n, _ in self._versions()), default=0)
 
     def refresh(self) -> MaterializedView:
-        self.version += 1
-        self.build().write.mode("overwrite").parquet(f"{self.folder}/v{self.version}")
+        self.build().write.mode("overwrite").parquet(f"{self.folder}/v{self.version + 1}")
+        for _, path in self._versions()[: -self.keep]:
+            self._fs.delete(path, True)
         return self
 
     def read(self) -> DataFrame:
