@@ -115,8 +115,9 @@ sql("tpch_q22", """
 SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer
 WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY c_nationkey""")
-# Parts by supplier, with the least price and all quantity of their lines, since these tables have no such relation.
-_PARTSUPP = """WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost,
+# Parts by supplier, with the least unit price (whole cents) and all quantity of their lines, since these tables have no
+# such relation.
+_PARTSUPP = """WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(CAST(floor(100 * l_extendedprice / l_quantity) AS DOUBLE)) / 100 AS ps_supplycost,
   sum(l_quantity) AS ps_availqty FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 sql("tpch_q2", f"""{_PARTSUPP}
 SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, partsupp, nation, region
